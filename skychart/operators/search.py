@@ -75,8 +75,8 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.flatten(runs))
 
 
-def _matches(text: Column, pattern: Column, errors: Column, pieces: Column) -> Column:
-    """Does some substring of the whole text lie within ``errors`` edits of the pattern?
+def _matches(text: Column, pattern: Column, errors: Column, pieces: Column, most: int) -> Column:
+    """Does some substring of the whole text lie within ``errors`` (up to ``most``) edits of the pattern?
 
     The text is walked in overlapping windows; only windows that hold a piece are compared start by
     start, for every length a match can have.
@@ -95,7 +95,9 @@ def _matches(text: Column, pattern: Column, errors: Column, pieces: Column) -> C
                     F.sequence(F.lit(1), F.least(F.lit(_STRIDE), F.length(w))),
                     lambda s: F.exists(
                         F.sequence(n - errors, n + errors),
-                        lambda size: F.levenshtein(F.substring(w, s, size), pattern, 32) <= errors,
+                        lambda size: F.levenshtein(F.substring(w, s, size), pattern, most).between(
+                            F.lit(0), errors
+                        ),
                     ),
                 ),
             )
@@ -140,9 +142,11 @@ def fuzzy_hits(
     first = found(F.col("_piece")) & ~F.exists(
         F.slice("pieces", F.lit(1), F.col("_i")), lambda p: found(p)
     )
-    matched = _matches(columns[0], F.col("pattern"), F.col("errors"), F.col("pieces"))
+    most = int(MAX_PATTERN * threshold + 1e-9)
+    pattern = (F.col("pattern"), F.col("errors"), F.col("pieces"), most)
+    matched = _matches(columns[0], *pattern)
     for c in columns[1:]:
-        matched = matched | _matches(c, F.col("pattern"), F.col("errors"), F.col("pieces"))
+        matched = matched | _matches(c, *pattern)
     return (
         placed.join(entries, "_gram").where(first).where(matched).select("query_id", "id").distinct()
     )
