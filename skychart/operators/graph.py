@@ -7,6 +7,8 @@ round written to the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +22,11 @@ LOCAL_EDGES = 200_000
 EDGE_COLUMNS = "src bigint, dst bigint, weight double"
 
 
+def in_one_task(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], columns: str) -> DataFrame:
+    """Apply a function to all rows at once; only for tables whose counted rows are within a bound."""
+    return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(function, columns)
+
+
 def _find(parent: dict[int, int], node: int) -> int:
     root = node
     while parent.setdefault(root, root) != root:
@@ -102,7 +109,7 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
     while True:
         n_edges = rest.count()
         if n_edges <= local_edges:
-            found = rest.groupBy(F.lit(0)).applyInPandas(_local_components, "id bigint, component bigint")
+            found = in_one_task(rest, _local_components, "id bigint, component bigint")
             last = found.select(F.col("id").alias("node"), F.col("component").alias("parent"))
             if labels is None:
                 return last.toDF("id", "component")
@@ -135,7 +142,7 @@ def minimum_spanning_forest(
     if group is None:
         table = space.write(edges.select(*columns), "edges")
         if table.count() <= local_edges:
-            return table.groupBy(F.lit(0)).applyInPandas(_local_forest, EDGE_COLUMNS)
+            return in_one_task(table, _local_forest, EDGE_COLUMNS)
         return _rounds(table, space, local_edges)
 
     table = space.write(edges.select(group, *columns), "edges")
@@ -167,7 +174,7 @@ def _rounds(edges: DataFrame, space: Workspace, local_edges: int) -> DataFrame:
         rest = space.replace(rest, "rest")
         n_edges = rest.count()
         if n_edges <= local_edges:
-            forest.append(rest.groupBy(F.lit(0)).applyInPandas(_local_forest, EDGE_COLUMNS))
+            forest.append(in_one_task(rest, _local_forest, EDGE_COLUMNS))
             break
         choice = space.replace(
             _both_ways(rest, "a", "b", "weight", "low", "high")

@@ -174,6 +174,8 @@ def knn_exact(vectors: DataFrame, k: int) -> DataFrame:
             )
         return _nearest(q, c, k + 1)
 
+    # Both sides come from one table: fresh names keep their columns apart.
+    candidates = candidates.select(*[F.col(c).alias(c) for c in candidates.columns])
     key = ["cell", "qb", "cb"]
     found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(compare, _FOUND)
     return _for_every_owner(found, owners, k)

@@ -297,7 +297,7 @@ def cluster_label_top_k(clusters: DataFrame, views: DataFrame) -> DataFrame:
     the top 80 rows are ranked, and only unlimited views see the whole cluster table.
     """
     limit = cluster_label_limit(F.col("zoom"), F.col("mobile"))
-    views = views.withColumn("_limit", limit)
+    views = views.select("view_id", limit.alias("_limit"))
     top = clusters.orderBy(F.col("total_weekly_downloads").desc_nulls_last(), "cluster_id").limit(80)
     ranked = top.withColumn(
         "_rank",

@@ -3,54 +3,66 @@
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "STRING": T.StringType(),
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+    "TIMESTAMP": T.TimestampType(),
+    "ARRAY<FLOAT>": T.ArrayType(T.FloatType()),
+}
 
 
-DOWNLOAD_FACTS = _schema("timestamp TIMESTAMP, project STRING")
+def schema(columns: str) -> T.StructType:
+    """A schema from ``name TYPE, ...``; unlike a parsed DDL text it needs no running session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
-DISTRIBUTION_METADATA = _schema(
+
+DOWNLOAD_FACTS = schema("timestamp TIMESTAMP, project STRING")
+
+DISTRIBUTION_METADATA = schema(
     "name STRING, description STRING, description_content_type STRING, summary STRING, "
     "version STRING, upload_time TIMESTAMP"
 )
 
-RAW_DATASET = _schema(
+RAW_DATASET = schema(
     "name STRING, description STRING, description_content_type STRING, summary STRING, "
     "latest_version STRING, number_of_downloads STRING"
 )
 
-PROCESSED_DATASET = _schema(
+PROCESSED_DATASET = schema(
     "name STRING, description STRING, description_content_type STRING, summary STRING, "
     "latest_version STRING, weekly_downloads BIGINT, description_cleaned STRING"
 )
 
-EMBEDDINGS = _schema("name STRING, embeddings ARRAY<FLOAT>")
+EMBEDDINGS = schema("name STRING, embeddings ARRAY<FLOAT>")
 
-CLUSTERED_DATASET = _schema(
+CLUSTERED_DATASET = schema(
     "name STRING, weekly_downloads BIGINT, summary STRING, cluster_id INT, x DOUBLE, y DOUBLE"
 )
 
-CLUSTER_LABELS = _schema("cluster_id INT, cluster_label STRING")
+CLUSTER_LABELS = schema("cluster_id INT, cluster_label STRING")
 
-CLUSTER_METADATA = _schema(
+CLUSTER_METADATA = schema(
     "cluster_id INT, centroid_x DOUBLE, centroid_y DOUBLE, total_weekly_downloads BIGINT, "
     "min_x DOUBLE, max_x DOUBLE, min_y DOUBLE, max_y DOUBLE"
 )
 
-CONSTELLATIONS = _schema(
+CONSTELLATIONS = schema(
     "cluster_id INT, from_package STRING, to_package STRING, "
     "from_x DOUBLE, from_y DOUBLE, to_x DOUBLE, to_y DOUBLE"
 )
 
-PACKAGES_JSON = _schema(
+PACKAGES_JSON = schema(
     "id BIGINT, name STRING, summary STRING, downloads BIGINT, x DOUBLE, y DOUBLE, clusterId INT"
 )
 
-CLUSTERS_JSON = _schema(
+CLUSTERS_JSON = schema(
     "clusterId INT, label STRING, centroidX DOUBLE, centroidY DOUBLE, downloads BIGINT, "
     "minX DOUBLE, maxX DOUBLE, minY DOUBLE, maxY DOUBLE"
 )
 
-CONSTELLATIONS_JSON = _schema(
+CONSTELLATIONS_JSON = schema(
     "clusterId INT, fromId BIGINT, toId BIGINT, fromX DOUBLE, fromY DOUBLE, toX DOUBLE, toY DOUBLE"
 )
