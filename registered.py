@@ -107,7 +107,7 @@ def places(spark: SparkSession, d: str) -> DataFrame:
     spent = (
         table(spark, d, "orders")
         .groupBy("o_custkey")
-        .agg(F.count("*").alias("weekly_downloads"), (F.max("o_totalprice") / 100000).alias("y"))
+        .agg(F.count("*").alias("weekly_downloads"), (F.max("o_totalprice") / 131072).alias("y"))
     )
     c = table(spark, d, "customer")
     return c.join(spent, c["c_custkey"] == spent["o_custkey"], "left").select(
@@ -653,7 +653,7 @@ def clustered_dataset(spark: SparkSession, d: str) -> DataFrame:
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     unit = table(spark, d, "embeddings").select(
         "vec_id",
-        F.posexplode(vectors.l2_normalize(F.transform("embedding", lambda v: v * F.col("label")))).alias("dim", "v"),
+        F.posexplode(vectors.l2_normalize(F.transform("embedding", lambda v: v.cast("double") * F.col("label")))).alias("dim", "v"),
     )
     return unit.select("vec_id", "dim", r6("v").alias("v"))
 

@@ -205,8 +205,10 @@ def layout(
         "edges",
     )
     strength = edges.groupBy("id").agg(F.sum("weight").alias("strength"))
+    # The epoch is a column, so that every epoch runs the same generated code.
     positions = space.replace(
-        positions.join(strength, "id", "left").fillna(0.0, ["strength"]), "positions"
+        positions.join(strength, "id", "left").fillna(0.0, ["strength"]).withColumn("epoch", F.lit(0)),
+        "positions",
     )
 
     def clipped(value: Column) -> Column:
@@ -214,8 +216,8 @@ def layout(
 
     gaps = [F.col(p) - F.col(f"_{p}") for p in axes]
     square = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
-    for epoch in range(epochs):
-        rate = 1.0 - epoch / epochs
+    rate = 1.0 - F.col("epoch") / epochs
+    for _ in range(epochs):
         here = positions.select("id", *axes)
         other = positions.select(F.col("id").alias("neighbor"), *[F.col(p).alias(f"_{p}") for p in axes])
         pull = F.when(
@@ -231,7 +233,7 @@ def layout(
         partner = F.explode(
             F.transform(
                 F.sequence(F.lit(1), F.lit(NEGATIVES)),
-                lambda s: F.pmod(F.xxhash64(F.col("id"), s, F.lit(epoch), F.lit(seed)), F.lit(n)),
+                lambda s: F.pmod(F.xxhash64(F.col("id"), s, F.col("epoch"), F.lit(seed)), F.lit(n)),
             )
         )
         far = positions.select(F.col("row").alias("partner"), *[F.col(p).alias(f"_{p}") for p in axes])
@@ -263,6 +265,7 @@ def layout(
                 ],
                 "row",
                 "strength",
+                (F.col("epoch") + 1).alias("epoch"),
             ),
             "positions",
         )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skychart.functions import scaling
 from skychart.operators.clean import fill_null_downloads
-from skychart.operators.ranking import exact_median
+from skychart.operators.ranking import exact_medians
 
 NOISE = -1
 
@@ -73,17 +73,18 @@ def run_stats(points: DataFrame) -> DataFrame:
 
 def median_center(points: DataFrame) -> DataFrame:
     """One row with the exact median of each axis."""
-    return exact_median(points, "x").withColumn("y", exact_median(points, "y").scalar())
+    return exact_medians(points, ["x", "y"])
 
 
 def log_radius_scale(points: DataFrame) -> DataFrame:
     """Pull points towards the median centre: a radius r becomes ``log(1 + r)``."""
-    center_x, center_y = exact_median(points, "x").scalar(), exact_median(points, "y").scalar()
+    center = median_center(points).select(F.struct("x", "y")).scalar()
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
     radius = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
     factor = F.log1p(F.col("_r")) / F.when(F.col("_r") == 0, F.lit(1e-8)).otherwise(F.col("_r"))
     return (
-        points.withColumns({"_cx": center_x, "_cy": center_y})
+        points.withColumn("_c", center)
+        .withColumns({"_cx": F.col("_c.x"), "_cy": F.col("_c.y")})
         .withColumns({"_dx": dx, "_dy": dy})
         .withColumn("_r", radius)
         .withColumn("_f", factor)

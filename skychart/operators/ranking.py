@@ -67,21 +67,38 @@ def global_dense_id(df: DataFrame, order: Sequence[Column], out: str = "id") ->
     return running_total(df, order, out=out)
 
 
-def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """One row holding the exact median: the middle value, or the mean of the two middle values.
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row holding the exact median per column: the middle value, or the mean of the middle two.
 
-    Equal values are counted first, so a frequent value costs one row.
+    Equal values are counted first, so a frequent value costs one row; the counts of all columns
+    are then placed in one pass.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    placed = running_total(counts, [F.col(column).asc()], weight=F.col("_n"), out="_before")
-    total = placed.agg(F.sum("_n")).scalar()
-    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
-
-    def holds(position: Column) -> Column:
-        return (F.col("_before") <= position) & (position < F.col("_before") + F.col("_n"))
-
-    return placed.agg(
-        (
-            (F.max(F.when(holds(low), F.col(column))) + F.max(F.when(holds(high), F.col(column)))) / 2
-        ).alias(column)
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("_axis"), F.col(c).alias("_v")) for i, c in enumerate(columns)]))
+    counts = (
+        df.select(values.alias("_e"))
+        .select("_e._axis", "_e._v")
+        .where(F.col("_v").isNotNull())
+        .groupBy("_axis", "_v")
+        .agg(F.count("*").alias("_n"))
+    )
+    placed = running_total(counts, [F.col("_v").asc()], ["_axis"], weight=F.col("_n"), out="_before")
+    totals = placed.groupBy("_axis").agg(F.sum("_n").alias("_total"))
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+
+    def at(position: Column) -> Column:
+        holds = (F.col("_before") <= position) & (position < F.col("_before") + F.col("_n"))
+        return F.when(holds, F.col("_v"))
+
+    joined = placed.join(totals, "_axis").withColumns({"_low": at(low), "_high": at(high)})
+    return joined.agg(
+        *[
+            (
+                (
+                    F.max(F.when(F.col("_axis") == i, F.col("_low")))
+                    + F.max(F.when(F.col("_axis") == i, F.col("_high")))
+                )
+                / 2
+            ).alias(c)
+            for i, c in enumerate(columns)
+        ]
     )

@@ -13,8 +13,6 @@ THRESHOLD = 0.2
 LIMIT = 25
 MAX_PATTERN = 32
 
-_STRIDE = 64
-
 
 def _patterns(queries: DataFrame, threshold: float) -> DataFrame:
     """Lower-cased patterns with the errors allowed and the pieces of which one must occur.
@@ -78,36 +76,46 @@ def _grams(text: Column) -> Column:
 def _matches(text: Column, pattern: Column, errors: Column, pieces: Column, most: int) -> Column:
     """Does some substring of the whole text lie within ``errors`` (up to ``most``) edits of the pattern?
 
-    The text is walked in overlapping windows; only windows that hold a piece are compared start by
-    start, for every length a match can have.
+    A match holds one piece unchanged and shifted by at most ``errors``: only the surroundings of
+    the places where a piece occurs are compared, for every start and length a match can have.
     """
     n = F.length(pattern)
 
-    def within(chars: Column) -> Column:
-        def window(begin: Column) -> Column:
-            return F.array_join(F.slice(chars, begin, F.lit(_STRIDE) + n + errors), "")
-
-        def window_matches(begin: Column) -> Column:
-            held = F.transform(
-                F.array(window(begin)),
-                lambda w: F.exists(pieces, lambda p: w.contains(p))
-                & F.exists(
-                    F.sequence(F.lit(1), F.least(F.lit(_STRIDE), F.length(w))),
-                    lambda s: F.exists(
-                        F.sequence(n - errors, n + errors),
-                        lambda size: F.levenshtein(F.substring(w, s, size), pattern, most).between(
-                            F.lit(0), errors
-                        ),
+    def near(chars: Column, at: Column) -> Column:
+        """Compare around a pattern that would begin at 0-based position ``at``."""
+        begin = F.greatest(at - errors, F.lit(0))
+        around = F.array_join(F.slice(chars, begin + 1, n + 2 * errors + (at - begin)), "")
+        compared = F.transform(
+            F.array(around),
+            lambda w: F.exists(
+                F.sequence(F.lit(1), 2 * errors + 1),
+                lambda start: F.exists(
+                    F.sequence(n - errors, n + errors),
+                    lambda size: F.levenshtein(F.substring(w, start, size), pattern, most).between(
+                        F.lit(0), errors
                     ),
                 ),
-            )
-            return held[0]
-
-        return F.exists(
-            F.sequence(F.lit(1), F.greatest(F.size(chars), F.lit(1)), F.lit(_STRIDE)), window_matches
+            ),
         )
+        return compared[0]
+
+    def holds_piece(chars: Column) -> Column:
+        def around_piece(i: Column) -> Column:
+            piece = F.element_at(pieces, i + 1)
+            offset = F.floor(i * n / (errors + 1)).cast("int")
+            quoted = F.replace(piece, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+            parts = F.split(text, F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")))
+            start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"))
+
+            def step(state: Column, part: Column) -> Column:
+                hit = state["hit"] | (part.startswith(piece) & near(chars, state["at"] - offset))
+                return F.struct((state["at"] + F.length(part)).alias("at"), hit.alias("hit"))
+
+            return F.aggregate(parts, start, step, lambda state: state["hit"])
+
+        return F.exists(F.sequence(F.lit(0), errors), around_piece)
 
-    approximate = F.transform(F.array(F.split(text, "")), within)[0]
+    approximate = F.transform(F.array(F.split(text, "")), holds_piece)[0]
     return F.when(errors == 0, text.contains(pattern)).otherwise(text.contains(pattern) | approximate)
 
 
