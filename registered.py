@@ -25,6 +25,7 @@ from skychart.operators import (
     search,
     spatial,
 )
+from skychart.operators.spread import spread
 from skychart.plans import pipeline
 from skychart.sources import files
 from skychart.sources.workspace import Workspace
@@ -179,7 +180,7 @@ def marked_documents(spark: SparkSession, d: str) -> DataFrame:
     declared = F.when(F.col("doc_id") % 7 == 0, "text/x-rst").when(
         F.col("doc_id") % 7 == 1, "Text/Markdown; charset=UTF-8"
     ).when(F.col("doc_id") % 7 == 2, "text/plain").when(F.col("doc_id") % 7 == 3, "")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id",
         F.when(turn == 0, markdown).when(turn == 1, rst).when(turn == 2, body).otherwise(both).alias("description"),
         declared.alias("declared"),
@@ -329,7 +330,7 @@ def markdown_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extract_text_html(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", text.extract_html(F.col("html")).alias("extracted"))
+    return spread(table(spark, d, "pages")).select("page_id", text.extract_html(F.col("html")).alias("extracted"))
 
 
 @query
@@ -346,7 +347,7 @@ def extract_text_rst(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extract_text_plain(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id", text.extract_text(F.col("text"), F.lit("plain")).alias("extracted")
     )
 

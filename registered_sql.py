@@ -147,7 +147,7 @@ add("markdown_score", f"SELECT doc_id, {MD_SCORE} AS score FROM docs", docs=MARK
 
 
 def stripped(value: str) -> str:
-    return f"regexp_replace({value}, {re2(markup._EDGES)}, '', 'g')"
+    return f"trim({value}, {sql_text(markup.WHITE_SPACE)})"
 
 
 def pieces(value: str, separator: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skychart.functions.bind import let
+
 MARKDOWN, RST, PLAIN = "markdown", "rst", "plain"
 
 # The patterns whose occurrences are counted, with W a word character and S a white
@@ -21,12 +23,17 @@ MD_IMAGE = r"(?d)!\[.*?\]\(.+?\)"
 MD_BOLD = rf"\*\*{_W}+\*\*|__{_W}+__"
 MD_FENCE = r"```"
 
-_EDGES = rf"^{_S}+|{_S}+\z"
+# The white space characters of Unicode.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space from both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -34,12 +41,10 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def rst_score(text: Column) -> Column:
-    fields = _count(text, RST_FIELD)
+    """Fields count only from the second on."""
+    fields = let(_count(text, RST_FIELD), lambda n: F.when(n >= 2, 2 * n).otherwise(0))
     return (
-        5 * _count(text, RST_DIRECTIVE)
-        + 3 * _count(text, RST_UNDERLINE)
-        + F.when(fields >= 2, 2 * fields).otherwise(0)
-        + _count(text, RST_ROLE)
+        5 * _count(text, RST_DIRECTIVE) + 3 * _count(text, RST_UNDERLINE) + fields + _count(text, RST_ROLE)
     )
 
 
@@ -61,13 +66,13 @@ def content_type_from_metadata(declared: Column) -> Column:
 
 def content_type_heuristic(text: Column) -> Column:
     """Texts under 10 characters are plain; a tie goes to markdown."""
-    rst, markdown = rst_score(text), markdown_score(text)
-    return (
-        F.when(text.isNull() | (F.length(strip(text)) < 10), PLAIN)
-        .when((rst > 0) & (rst > markdown), RST)
-        .when(markdown > 0, MARKDOWN)
-        .otherwise(PLAIN)
-    )
+
+    def decide(score: Column) -> Column:
+        rst, markdown = score["rst"], score["markdown"]
+        return F.when((rst > 0) & (rst > markdown), RST).when(markdown > 0, MARKDOWN).otherwise(PLAIN)
+
+    scores = F.struct(rst_score(text).alias("rst"), markdown_score(text).alias("markdown"))
+    return F.when(text.isNull() | (F.length(strip(text)) < 10), PLAIN).otherwise(let(scores, decide))
 
 
 def content_type(text: Column, declared: Column | None = None) -> Column:

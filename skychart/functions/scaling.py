@@ -23,6 +23,8 @@ def log_size(
     low, high = F.log10(lowest + 1.0), F.log10(highest + 1.0)
     span = F.when(high > low, high - low).otherwise(F.lit(1.0))
     norm = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log10(downloads + 1.0) - low) / span))
+    # Greatest and least pass over nulls, so an unknown count needs its own case.
+    norm = F.when(downloads.isNotNull(), norm)
     return F.lit(float(min_size)) + F.lit(float(max_size - min_size)) * F.pow(norm, F.lit(float(gamma)))
 
 

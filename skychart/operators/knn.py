@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skychart.functions.vectors import distance
@@ -147,13 +147,15 @@ def knn_exact(vectors: DataFrame, k: int) -> DataFrame:
     sizes = stats.set_index("cell")["n"]
     blocks["query_blocks"] = -(-blocks["cell"].map(sizes) // QUERY_BLOCK)
     plan = plan.merge(blocks, on="cell")
-    reach = spark.createDataFrame(plan[["cell", "other", "least_gap", "candidate_blocks", "query_blocks"]])
-    own = spark.createDataFrame(blocks[["cell", "candidate_blocks", "query_blocks"]])
+    counts = "candidate_blocks int, query_blocks int"
+    plan = plan[["cell", "other", "least_gap", "candidate_blocks", "query_blocks"]]
+    reach = spark.createDataFrame(plan, f"cell int, other int, least_gap double, {counts}")
+    own = spark.createDataFrame(blocks[["cell", "candidate_blocks", "query_blocks"]], f"cell int, {counts}")
 
-    def block(count: str) -> object:
+    def block(count: str) -> Column:
         return F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
 
-    def every(count: str) -> object:
+    def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), (F.col(count) - 1).cast("int")))
 
     queries = (

@@ -216,56 +216,46 @@ def layout(
 
     gaps = [F.col(p) - F.col(f"_{p}") for p in axes]
     square = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+    d2 = F.col("_d2")
+    curve = 1.0 + a * F.pow(d2, F.lit(b))
+    pull = F.when(d2 > 0, -2.0 * a * b * F.pow(d2, F.lit(b - 1.0)) / curve).otherwise(F.lit(0.0))
+    push = F.when(d2 > 0, 2.0 * repulsion * b / ((0.001 + d2) * curve)).otherwise(F.lit(0.0))
     rate = 1.0 - F.col("epoch") / epochs
+    partner = F.explode(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(NEGATIVES)),
+            lambda s: F.pmod(F.xxhash64(F.col("id"), s, F.col("epoch"), F.lit(seed)), F.lit(n)),
+        )
+    )
+    here = ["id", *[F.col(p) for p in axes]]
+    there = [F.col(p).alias(f"_{p}") for p in axes]
+    force = F.col("_f")
+    attracted = ["id", *[(F.col("weight") * clipped(force * g)).alias(p) for p, g in zip(axes, gaps, strict=True)]]
+    repelled = ["id", *[(F.col("strength") * clipped(force * g)).alias(p) for p, g in zip(axes, gaps, strict=True)]]
+    total = [F.sum(p).alias(f"_m_{p}") for p in axes]
+    # Rounding hides the order in which the sums were added up.
+    moved = [
+        F.round(F.col(p) + rate * clipped(F.coalesce(F.col(f"_m_{p}"), F.lit(0.0))), 6).alias(p) for p in axes
+    ]
     for _ in range(epochs):
-        here = positions.select("id", *axes)
-        other = positions.select(F.col("id").alias("neighbor"), *[F.col(p).alias(f"_{p}") for p in axes])
-        pull = F.when(
-            F.col("_d2") > 0,
-            -2.0 * a * b * F.pow("_d2", F.lit(b - 1.0)) / (1.0 + a * F.pow("_d2", F.lit(b))),
-        ).otherwise(F.lit(0.0))
         pulls = (
-            edges.join(here, "id")
-            .join(other, "neighbor")
+            edges.join(positions.select(*here), "id")
+            .join(positions.select(F.col("id").alias("neighbor"), *there), "neighbor")
             .withColumn("_d2", square)
-            .select("id", *[(F.col("weight") * clipped(pull * g)).alias(p) for p, g in zip(axes, gaps, strict=True)])
+            .withColumn("_f", pull)
+            .select(*attracted)
         )
-        partner = F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(NEGATIVES)),
-                lambda s: F.pmod(F.xxhash64(F.col("id"), s, F.col("epoch"), F.lit(seed)), F.lit(n)),
-            )
-        )
-        far = positions.select(F.col("row").alias("partner"), *[F.col(p).alias(f"_{p}") for p in axes])
-        push = F.when(
-            F.col("_d2") > 0,
-            2.0 * repulsion * b / ((0.001 + F.col("_d2")) * (1.0 + a * F.pow("_d2", F.lit(b)))),
-        ).otherwise(F.lit(0.0))
         pushes = (
-            positions.withColumn("partner", partner)
-            .join(far, "partner")
+            positions.select(*here, "strength", partner.alias("partner"))
+            .join(positions.select(F.col("row").alias("partner"), *there), "partner")
             .withColumn("_d2", square)
-            .select(
-                "id",
-                *[(F.col("strength") * clipped(push * g)).alias(p) for p, g in zip(axes, gaps, strict=True)],
-            )
-        )
-        moves = (
-            pulls.unionByName(pushes)
-            .groupBy("id")
-            .agg(*[F.sum(p).alias(f"_m_{p}") for p in axes])
+            .withColumn("_f", push)
+            .select(*repelled)
         )
-        # Rounding hides the order in which the sums were added up.
+        moves = pulls.unionByName(pushes).groupBy("id").agg(*total)
         positions = space.replace(
             positions.join(moves, "id", "left").select(
-                "id",
-                *[
-                    F.round(F.col(p) + rate * clipped(F.coalesce(F.col(f"_m_{p}"), F.lit(0.0))), 6).alias(p)
-                    for p in axes
-                ],
-                "row",
-                "strength",
-                (F.col("epoch") + 1).alias("epoch"),
+                "id", *moved, "row", "strength", (F.col("epoch") + 1).alias("epoch")
             ),
             "positions",
         )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skychart.operators.spread import spread
+
 # Share of the query that may differ, results shown, and the longest pattern matched
 # in one go (longer queries match if any of their parts does).
 THRESHOLD = 0.2
@@ -135,10 +137,11 @@ def fuzzy_hits(
     ).withColumn("_gram", F.substring("_piece", 1, 3))
 
     texts = {k: F.lower(F.coalesce(F.col(k), F.lit(""))) for k in keys}
-    lowered = points.select("id", *[t.alias(f"_t_{k}") for k, t in texts.items()])
+    lowered = spread(points).select("id", *[t.alias(f"_t_{k}") for k, t in texts.items()])
     columns = [F.col(f"_t_{k}") for k in keys]
     grams = F.array_distinct(F.concat(*[_grams(c) for c in columns]))
-    placed = lowered.withColumn("_gram", F.explode(grams))
+    # Only ids travel with the runs; the texts come back for the candidates alone.
+    candidates = lowered.select("id", F.explode(grams).alias("_gram")).join(entries, "_gram")
 
     def found(piece: Column) -> Column:
         hit = columns[0].contains(piece)
@@ -156,7 +159,7 @@ def fuzzy_hits(
     for c in columns[1:]:
         matched = matched | _matches(c, *pattern)
     return (
-        placed.join(entries, "_gram").where(first).where(matched).select("query_id", "id").distinct()
+        candidates.join(lowered, "id").where(first).where(matched).select("query_id", "id").distinct()
     )
 
 

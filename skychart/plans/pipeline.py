@@ -14,6 +14,7 @@ from skychart.operators import clean, density, labels, layout, mapstats, outputs
 from skychart.operators.constellations import constellations
 from skychart.operators.embed import Encoder, embed_text, hashing_encoder
 from skychart.operators.ranking import global_dense_id
+from skychart.operators.spread import spread
 from skychart.sources import files
 
 
@@ -36,7 +37,7 @@ class MapSettings:
 
 def process(raw: DataFrame, settings: MapSettings) -> DataFrame:
     """Clean rows, keep the most used ones, then extract their texts: the costly step runs last."""
-    kept = clean.top_n(clean.read_raw(raw), settings.top_packages)
+    kept = spread(clean.top_n(clean.read_raw(raw), settings.top_packages))
     kind = content_type(F.col("description"), F.col("description_content_type"))
     return kept.withColumn("description_cleaned", extract_text(F.col("description"), kind))
 
