@@ -187,12 +187,12 @@ def marked_documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def planted(spark: SparkSession, d: str) -> DataFrame:
+def planted(spark: SparkSession, d: str, width: float = 0.01) -> DataFrame:
     """Vectors pulled towards a corner of their own per label, so that every label is a dense group."""
     corner = F.transform(
         F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0)
     )
-    near = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 0.3)
+    near = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * width)
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("id"), "label", F.zip_with(corner, near, lambda a, b: a + b).alias("vec")
     )
@@ -756,6 +756,12 @@ def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return density.density_clusters(planted(spark, d).select("id", "vec"))
 
 
+@query
+def density_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Wide groups: clusters come from the tree above the joining distance."""
+    return density.density_clusters(planted(spark, d, 0.3).select("id", "vec"))
+
+
 @query
 def reduce_dims(spark: SparkSession, d: str) -> DataFrame:
     reduced = layout.reduce_dims(planted(spark, d).select("id", "vec"), 4, epochs=5)

@@ -16,7 +16,7 @@ from skychart.sources.workspace import Workspace
 # Rows of one task: queries times candidates is the size of its distance matrix.
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 8192
-POINTS_PER_PIVOT = 512
+POINTS_PER_PIVOT = 2048
 MAX_PIVOTS = 1024
 
 

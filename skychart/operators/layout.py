@@ -262,6 +262,16 @@ def layout(
     return positions.select("id", F.array(*axes).alias("vec"))
 
 
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    return vectors.select("id", l2_normalize(F.col("vec")).alias("vec"))
+
+
+def _graph(unit: DataFrame, knn: DataFrame | None, n_neighbors: int) -> DataFrame:
+    if knn is None:
+        knn = Workspace(unit.sparkSession).write(neighbors(unit, n_neighbors - 1), "knn")
+    return fuzzy_graph(knn.where(F.col("rank") < n_neighbors - 1), n_neighbors)
+
+
 def reduce_dims(
     vectors: DataFrame,
     dimensions: int = 16,
@@ -269,17 +279,19 @@ def reduce_dims(
     min_dist: float = 0.03,
     epochs: int = 30,
     method: str = "graph",
+    knn: DataFrame | None = None,
 ) -> DataFrame:
-    """(id, vec) in fewer dimensions and of unit length, ready for density clustering."""
-    unit = vectors.select("id", l2_normalize(F.col("vec")).alias("vec"))
+    """(id, vec) in fewer dimensions and of unit length, ready for density clustering.
+
+    ``knn`` may hand in a neighbour table of the unit vectors that is at least long enough.
+    """
+    unit = unit_vectors(vectors)
     if method == "pca":
         reduced = pca(unit, dimensions)
     else:
-        knn = neighbors(unit, n_neighbors - 1)
-        knn = Workspace(vectors.sparkSession).write(knn, "knn")
-        graph = fuzzy_graph(knn, n_neighbors)
+        graph = _graph(unit, knn, n_neighbors)
         reduced = layout(graph, pca(unit, dimensions), min_dist, epochs=epochs)
-    return reduced.select("id", l2_normalize(F.col("vec")).alias("vec"))
+    return unit_vectors(reduced)
 
 
 def map_coordinates(
@@ -291,10 +303,10 @@ def map_coordinates(
     repulsion: float = 0.3,
     target_weight: float = 0.5,
     epochs: int = 30,
+    knn: DataFrame | None = None,
 ) -> DataFrame:
     """(id, x, y): a two-dimensional layout in which points of one cluster attract each other more."""
-    unit = vectors.select("id", l2_normalize(F.col("vec")).alias("vec"))
-    knn = Workspace(vectors.sparkSession).write(neighbors(unit, n_neighbors - 1), "knn")
-    graph = supervise_graph(fuzzy_graph(knn, n_neighbors), labels, target_weight)
+    unit = unit_vectors(vectors)
+    graph = supervise_graph(_graph(unit, knn, n_neighbors), labels, target_weight)
     placed = layout(graph, pca(unit, 2), min_dist, spread, repulsion, epochs)
     return placed.select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))

@@ -16,6 +16,9 @@ from skychart.operators.embed import Encoder, embed_text, hashing_encoder
 from skychart.operators.ranking import global_dense_id
 from skychart.operators.spread import spread
 from skychart.sources import files
+from skychart.sources.workspace import Workspace
+
+MAP_NEIGHBORS = 12
 
 
 @dataclass(frozen=True)
@@ -53,13 +56,19 @@ def embed(processed: DataFrame, settings: MapSettings) -> DataFrame:
 def cluster(processed: DataFrame, embeddings: DataFrame, settings: MapSettings) -> DataFrame:
     """Cluster ids and map coordinates; wide vectors stay out of the join with the texts."""
     numbered = global_dense_id(embeddings, [F.col("name").asc()]).withColumnRenamed("embeddings", "vec")
+    space = Workspace(processed.sparkSession)
+    numbered = space.write(numbered, "numbered")
     vectors = numbered.select("id", "vec")
-    reduced = layout.reduce_dims(vectors, settings.reduced_dimensions, epochs=settings.epochs)
+    # Both reductions look at the same neighbours; the second at two more of them.
+    knn = space.write(layout.neighbors(layout.unit_vectors(vectors), MAP_NEIGHBORS - 1), "knn")
+    reduced = layout.reduce_dims(vectors, settings.reduced_dimensions, epochs=settings.epochs, knn=knn)
+    reduced = space.write(reduced, "reduced")
     found = density.density_clusters(
         reduced, settings.min_cluster_size, settings.min_samples, settings.eps, settings.persistence
     )
+    found = space.write(found, "found")
     coordinates = layout.map_coordinates(
-        vectors, found.withColumnRenamed("cluster_id", "label"), epochs=settings.epochs
+        vectors, found.withColumnRenamed("cluster_id", "label"), MAP_NEIGHBORS, epochs=settings.epochs, knn=knn
     )
     placed = mapstats.log_radius_scale(coordinates).join(found, "id")
     return clustered_dataset(numbered.select("id", "name").join(placed, "id").drop("id"), processed)
