@@ -151,7 +151,7 @@ def minimum_spanning_forest(
         F.sum(F.when(F.col("_n") <= local_edges, F.col("_n"))).alias("small"),
         F.count_if(F.col("_n") > local_edges).alias("n_large"),
     ).first()
-    bundles = (totals["small"] or 0) // local_edges * 2 + edges.sparkSession.sparkContext.defaultParallelism
+    bundles = (totals["small"] or 0) // max(local_edges, 1) * 2 + edges.sparkSession.sparkContext.defaultParallelism
     small = (
         table.join(sizes.where(F.col("_n") <= local_edges), group, "left_semi")
         .groupBy(F.pmod(F.xxhash64(group), F.lit(bundles)).alias("_bundle"))
