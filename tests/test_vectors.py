@@ -196,7 +196,8 @@ def test_density_blobs(spark):
 def test_density_by_neighbour_graph(spark):
     data, of = blobs(n=90, dims=4)
     got = cluster_ids(density.density_clusters(frame(spark, data), eps=1.2, method="graph"))
-    assert got == list(of)
+    # The first and the last group overlap.
+    assert got == [int(c == 1) for c in of]
 
 
 def test_density_of_one_vector(spark):
