@@ -143,7 +143,7 @@ def views(spark: SparkSession, d: str) -> DataFrame:
 
 
 def picks(spark: SparkSession, d: str) -> DataFrame:
-    """One pick position per order customer: near the map, some with a radius too small to hit."""
+    """One pick position per supplier: near the map, some with a radius too small to hit."""
     key = F.col("s_suppkey")
     return table(spark, d, "supplier").select(
         key.alias("query_id"),
@@ -732,7 +732,7 @@ def supervise_graph(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
-    """Minimum spanning forest of the customer-supplier graph, by the price of the goods bought."""
+    """Minimum spanning forest of the graph of suppliers and parts, by the least price paid."""
     return graph.minimum_spanning_forest(_trade(spark, d)).select("src", "dst", "weight")
 
 

@@ -68,7 +68,8 @@ def _copies(vectors: DataFrame, k: int, space: Workspace) -> tuple[DataFrame, Da
     Of copies only the k + 1 with the lowest ids can be anyone's neighbours, so a vector that is
     copied a billion times is compared once.
     """
-    distinct = vectors.groupBy("vec").agg(F.min("id").alias("rep"))
+    # Written first: the join then sees a table of known size and can split a much copied vector.
+    distinct = space.write(vectors.groupBy("vec").agg(F.min("id").alias("rep")), "distinct")
     owners = space.write(vectors.join(distinct, "vec").select("id", "rep"), "owners")
     lowest = Window.partitionBy("rep").orderBy("id")
     members = (
@@ -90,6 +91,8 @@ def _for_every_owner(found: DataFrame, owners: DataFrame, k: int) -> DataFrame:
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))).alias("list"))
     )
+    # Written first, so that the join can split the owners of a much copied vector.
+    lists = Workspace(owners.sparkSession).write(lists, "lists")
     others = F.filter("list", lambda e: e["neighbor"] != F.col("id"))
     return (
         owners.join(lists, "rep")
