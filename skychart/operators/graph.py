@@ -56,17 +56,6 @@ def _local_forest(edges: pd.DataFrame) -> pd.DataFrame:
     return edges.loc[kept, ["low", "high", "weight"]].set_axis(["src", "dst", "weight"], axis=1)
 
 
-def _local_components(edges: pd.DataFrame) -> pd.DataFrame:
-    parent: dict[int, int] = {}
-    for a, b in zip(edges["src"], edges["dst"], strict=True):
-        a, b = sorted((_find(parent, int(a)), _find(parent, int(b))))
-        parent[b] = a
-    nodes = list(parent)
-    return pd.DataFrame(
-        {"id": nodes, "component": [_find(parent, n) for n in nodes]}, dtype="int64"
-    )
-
-
 def _roots(parents: DataFrame, space: Workspace) -> DataFrame:
     """Follow parent pointers (node, parent) to their roots by pointer jumping."""
     while True:
@@ -97,23 +86,17 @@ def _both_ways(edges: DataFrame, a: str, b: str, *rest: str) -> DataFrame:
     return forward.unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"), *rest))
 
 
-def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node that has an edge; a component is named by its lowest id.
 
     Each round hooks every component onto its lowest neighbour and follows the pointers to their
-    ends. Grouped minima combine before the shuffle, so a node with very many edges is harmless.
+    ends, until no edge joins two components. Grouped minima combine before the shuffle, so a node with very
+    many edges is harmless.
     """
     space = Workspace(edges.sparkSession)
     rest = space.write(edges.select("src", "dst").distinct(), "edges")
     labels = None
     while True:
-        n_edges = rest.count()
-        if n_edges <= local_edges:
-            found = in_one_task(rest, _local_components, "id bigint, component bigint")
-            last = found.select(F.col("id").alias("node"), F.col("component").alias("parent"))
-            if labels is None:
-                return last.toDF("id", "component")
-            return _relabel(labels, "component", last)
         lowest = (
             _both_ways(rest, "src", "dst")
             .groupBy("node")
@@ -124,9 +107,11 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
             labels = roots.select(F.col("node").alias("id"), F.col("parent").alias("component"))
         else:
             labels = _relabel(labels, "component", roots)
-        labels = space.replace(labels, "labels")
         hooked = _relabel(_relabel(rest, "src", roots), "dst", roots)
         rest = space.replace(hooked.where("src != dst").distinct(), "edges")
+        if rest.isEmpty():
+            return labels
+        labels = space.replace(labels, "labels")
 
 
 def minimum_spanning_forest(

@@ -44,7 +44,7 @@ def test_forest_and_components(spark, seed, local):
     want, find = kruskal(edges)
     got = {tuple(r) for r in graph.minimum_spanning_forest(df, local_edges=local).collect()}
     assert got == want
-    components = {r["id"]: r["component"] for r in graph.connected_components(df, local).collect()}
+    components = {r["id"]: r["component"] for r in graph.connected_components(df).collect()}
     nodes = {n for e in edges for n in e[:2]}
     lowest = {}
     for n in sorted(nodes):
@@ -56,7 +56,7 @@ def test_long_path_and_star(spark):
     path = [(i, i + 1, float(i % 7)) for i in range(60)]
     star = [(1000, 1001 + i, 1.0) for i in range(60)]
     df = spark.createDataFrame(path + star, EDGE)
-    got = {r["id"]: r["component"] for r in graph.connected_components(df, 0).collect()}
+    got = {r["id"]: r["component"] for r in graph.connected_components(df).collect()}
     assert set(got.values()) == {0, 1000}
     assert graph.minimum_spanning_forest(df, local_edges=0).count() == 120
 
