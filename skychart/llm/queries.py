@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skychart.llm import fingerprints, mixing, sharding
+from skychart.llm import fingerprints, jaccard, mixing, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +30,16 @@ def op2_multiset_hash(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.compared_with_edits(docs)
 
 
+@query
+def op4_first_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_digest(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.components(table(spark, d, "documents"), words=4, percent=85)
+
+
 @query
 def op7_byte_shards(spark: SparkSession, d: str) -> DataFrame:
     rows = sharding.sized(table(spark, d, "documents"))
@@ -43,6 +54,19 @@ def op7_byte_shards(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op8_nearest_toxic(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, d, "labels"))
+    return toxicity.scored(docs, model, keep=["doc_id"]).select(
+        "doc_id",
+        toxicity.is_held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        F.transform("_neighbours", lambda x: x["similarity"]).alias("evidence"),
+    )
+
+
 @query
 def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents")).select(
