@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skychart.llm import fingerprints, jaccard, mixing, packing, sharding, toxicity
+from skychart.llm import fingerprints, hmm, jaccard, mixing, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,11 @@ def op5_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.components(table(spark, d, "documents"), words=4, percent=85)
 
 
+@query
+def op6_hidden_markov(spark: SparkSession, d: str) -> DataFrame:
+    return hmm.learned_and_scored(table(spark, d, "documents"))
+
+
 @query
 def op7_byte_shards(spark: SparkSession, d: str) -> DataFrame:
     rows = sharding.sized(table(spark, d, "documents"))
