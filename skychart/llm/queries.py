@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skychart.llm import fingerprints, hmm, jaccard, mixing, packing, sharding, toxicity
+from skychart.llm import ann, fingerprints, hmm, jaccard, mixing, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,12 @@ def op2_multiset_hash(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.compared_with_edits(docs)
 
 
+@query
+def op3_kmeans_tree(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 @query
 def op4_first_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed_digest(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
