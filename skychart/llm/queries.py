@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skychart.llm import ann, fingerprints, hmm, jaccard, mixing, packing, sharding, toxicity
+from skychart.llm import ann, fingerprints, hmm, jaccard, mixing, packing, quality, secretscan, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@query
+def op1_site_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(
+        "doc_id", "text", F.col("source").alias("host"), F.concat_ws("/", "source", "lang").alias("path")
+    )
+    return quality.judged(docs, quality.fit(docs, table(spark, d, "labels")))
+
+
 @query
 def op2_multiset_hash(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -78,6 +86,12 @@ def op8_nearest_toxic(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op9_forest_secrets(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("path"))
+    return secretscan.scan(docs, *secretscan.fit(docs))
+
+
 @query
 def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents")).select(
