@@ -124,7 +124,7 @@ def runs(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np
         for j in range(1, m):
             v = mix(v * _ODD + hashes[at + j])
         values[m] = mix(v + np.uint64(m))
-    for j in range(1, k):
+    for j in range(1, min(k, n)):
         value[: n - j] = mix(value[: n - j] * _ODD + hashes[j:])
     place = np.arange(n) - np.repeat(first, counts)
     valid = place + k <= np.repeat(counts, counts)
