@@ -304,8 +304,8 @@ def parquet_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def content_type_meta(spark: SparkSession, d: str) -> DataFrame:
-    return marked_documents(spark, d).where(F.col("declared").isNotNull()).select(
-        "doc_id", markup.content_type_from_metadata(F.col("declared")).alias("kind")
+    return marked_documents(spark, d).select(
+        "doc_id", markup.content_type_from_metadata(F.coalesce("declared", F.lit(""))).alias("kind")
     )
 
 
@@ -333,16 +333,39 @@ def extract_text_html(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "pages")).select("page_id", text.extract_html(F.col("html")).alias("extracted"))
 
 
+def plain_body() -> Column:
+    """A whole text as letters, digits, full stops and blanks: what no markup touches."""
+    return F.regexp_replace("text", r"[^\p{L}\p{N}. \n]", " ")
+
+
 @query
 def extract_text_markdown(spark: SparkSession, d: str) -> DataFrame:
-    rows = marked_documents(spark, d).where("doc_id % 4 = 0")
-    return rows.select("doc_id", text.extract_markdown(F.col("description")).alias("extracted"))
+    """Every document's text inside known markup, so that the plain text is known too."""
+    doc = F.col("doc_id").cast("string")
+    source = F.concat(
+        F.lit("# Guide "), doc, F.lit(" ##\n\nSome **strong** text, [a link](https://example.com/"), doc,
+        F.lit(
+            ") &amp; ![badge](b.png).\n\n```\ncode = *1*\n```\n\n- first\n- [x] second\n\n***\n\n> > quoted &eacute;&#x41;\n\n"
+            "| a | b |\n|---|:-:|\n| 1 | 2 |\n\n<!-- hidden -->\n\nTitle\n-----\n"
+        ), plain_body(),
+    )
+    rows = spread(table(spark, d, "documents"))
+    return rows.select("doc_id", text.extract_markdown(source).alias("extracted"))
 
 
 @query
 def extract_text_rst(spark: SparkSession, d: str) -> DataFrame:
-    rows = marked_documents(spark, d).where("doc_id % 4 = 1")
-    return rows.select("doc_id", text.extract_rst(F.col("description")).alias("extracted"))
+    """Every document's text inside known markup, so that the plain text is known too."""
+    source = F.concat(
+        F.lit("Guide "), F.col("doc_id").cast("string"),
+        F.lit(
+            "\n=======\n\n.. image:: a.png\n   :alt: x\n   :width: 3\n\n.. note::\n\n   Mind the gap.\n\n:author: someone\n"
+            ":date: today\n\n.. _target: http://example.com\n\nSee `the docs <https://example.com>`_ and :py:func:`call`, ``code``.\n\n"
+            "* **one**\n* *two*\n\n+---+---+\n\nCode::\n\n"
+        ), plain_body(),
+    )
+    rows = spread(table(spark, d, "documents"))
+    return rows.select("doc_id", text.extract_rst(source).alias("extracted"))
 
 
 @query
@@ -595,8 +618,7 @@ def cluster_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
-    named = points(spark, d).withColumn("name", F.lit(""))
-    return labels.cluster_labels(named)
+    return labels.cluster_labels(points(spark, d))
 
 
 @query
@@ -605,7 +627,9 @@ def label_fallback(spark: SparkSession, d: str) -> DataFrame:
 
     def by_nation(df: DataFrame) -> DataFrame:
         nation = table(spark, d, "nation")
-        answer = F.when(F.col("n_nationkey") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "n_name"))
+        key = F.col("n_nationkey")
+        blank = F.when(key % 2 == 0, "\n").otherwise(" \t\u00a0")
+        answer = F.when(key % 3 == 0, blank).otherwise(F.concat(F.lit("\t "), "n_name", F.lit(" \n")))
         return df.select("cluster_id").distinct().join(
             nation.where("n_nationkey % 5 != 0").select(F.col("n_nationkey").alias("cluster_id"), answer.alias("answer")),
             "cluster_id",

