@@ -187,17 +187,28 @@ def marked_documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def planted(spark: SparkSession, d: str, width: float = 0.01) -> DataFrame:
+def planted(spark: SparkSession, d: str, width: float = 0.005) -> DataFrame:
     """Vectors pulled towards a corner of their own per label, so that every label is a dense group."""
     corner = F.transform(
-        F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0)
+        F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0)
     )
-    near = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * width)
+    near = F.transform("embedding", lambda v: v.cast("double") * width)
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("id"), "label", F.zip_with(corner, near, lambda a, b: a + b).alias("vec")
     )
 
 
+def halved(spark: SparkSession, d: str) -> DataFrame:
+    """The planted groups, each in two dense halves at a distance of 0.3; some vectors lie alone and far away."""
+    odd, alone = F.col("id") % 2 == 1, F.col("id") % 50 == 7
+
+    def place(v: Column, i: Column) -> Column:
+        far = F.when(i == 63, 5.0 * (1 + F.col("id"))).otherwise(0.0)
+        return F.when(alone, far).otherwise(v + F.when(odd & (i == 10 + F.col("label")), 0.3).otherwise(0.0))
+
+    return planted(spark, d).select("id", "label", F.transform("vec", place).alias("vec"))
+
+
 def vectors_table(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
@@ -538,7 +549,11 @@ def detail_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 # --- search ----------------------------------------------------------------------------------
 
-SEARCHES = [(1, "r"), (2, "bolt"), (3, "RED"), (4, "blue bolt"), (5, "hot rinq"), (6, "anvli"), (7, "new anvil brass")]
+DOCUMENT_SEARCHES = [(1, "licence"), (2, "ñas"), (3, "threa in g")]
+LONG_SEARCH = "a new anvil of brass, longer than any name or type"
+SEARCHES = [
+    (1, "r"), (2, "bolt"), (3, "RED"), (4, "blue bolt"), (5, "hot rinq"), (6, "anvli"), (7, "new anvil brass"), (8, LONG_SEARCH),
+]
 
 
 def part_points(spark: SparkSession, d: str) -> DataFrame:
@@ -562,8 +577,7 @@ def fuzzy_hits_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("summary")
     )
-    searches = spark.createDataFrame([(1, "licence"), (2, "ñas"), (3, "threa in g")], "query_id int, query string")
-    return search.fuzzy_hits(docs, searches)
+    return search.fuzzy_hits(docs, spark.createDataFrame(DOCUMENT_SEARCHES, "query_id int, query string"))
 
 
 # --- constellations, labels, outputs ---------------------------------------------------------
@@ -685,13 +699,21 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pairwise_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of the tree edges' ends, measured on the whole vectors."""
-    v = vectors_table(spark, d)
-    pairs = neighbor_table(spark, d, 3)
+    """Distances of the pairs of places of a cluster that lie within a radius; the grid rules out the others."""
+    radius = 0.05
+    here = places(spark, d).select("id", "cluster_id", "x", "y")
+    sides = [(F.col(c) + s * radius).alias(f"{n}_{c}") for c in ("x", "y") for n, s in (("low", -1), ("high", 1))]
+    boxes = here.select("id", "cluster_id", "x", "y", *sides)
+    spots = here.select(*[F.col(c).alias(f"other_{c}") for c in here.columns])
+    measured = vectors.distance(F.array("x", "y"), F.array("other_x", "other_y"))
     return (
-        pairs.join(v.toDF("id", "a"), "id")
-        .join(v.toDF("neighbor", "b"), "neighbor")
-        .select("id", "rank", r6(vectors.distance(F.col("a"), F.col("b"))).alias("distance"))
+        spatial.overlap_join(
+            spots, boxes, ["other_x", "other_x", "other_y", "other_y"], ["low_x", "high_x", "low_y", "high_y"]
+        )
+        .where((F.col("cluster_id") == F.col("other_cluster_id")) & (F.col("id") < F.col("other_id")))
+        .withColumn("distance", measured)
+        .where(F.col("distance") <= radius)
+        .select("cluster_id", "id", F.col("other_id").alias("other"), r6("distance").alias("distance"))
     )
 
 
@@ -704,7 +726,11 @@ def knn_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def knn_approximate(spark: SparkSession, d: str) -> DataFrame:
-    return knn.knn_approximate(vectors_table(spark, d), 10).select("id", "rank", "neighbor", "distance")
+    """Per vector: whether ten neighbours came back, and whether most of them are the true ones."""
+    near = knn.knn_approximate(vectors_table(spark, d), 10).select("id", "neighbor")
+    true = neighbor_table(spark, d, 10).select("id", "neighbor", F.lit(1).alias("true"))
+    counted = near.join(true, ["id", "neighbor"], "left").groupBy("id")
+    return counted.agg(F.count("*").alias("found"), (F.count("true") >= 6).alias("near"))
 
 
 @query
@@ -740,10 +766,10 @@ def fuzzy_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rank_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbour graph whose weights are plain fractions of the rank."""
-    return neighbor_table(spark, d, 5).where("id < neighbor").select(
-        F.col("id").alias("src"), F.col("neighbor").alias("dst"), (1 / (F.col("rank") + 1.0)).alias("weight")
-    )
+    """Neighbour graph whose weights are plain fractions of the better of the two ranks."""
+    return neighbor_table(spark, d, 5).groupBy(
+        F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst")
+    ).agg(F.max(1 / (F.col("rank") + 1.0)).alias("weight"))
 
 
 @query
@@ -756,52 +782,81 @@ def supervise_graph(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
-    """Minimum spanning forest of the graph of suppliers and parts, by the least price paid."""
-    return graph.minimum_spanning_forest(_trade(spark, d)).select("src", "dst", "weight")
-
-
-def _trade(spark: SparkSession, d: str) -> DataFrame:
-    """One edge per part bought from a supplier; suppliers are numbered below zero."""
-    return (
-        table(spark, d, "lineitem")
-        .groupBy((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"))
+    """Minimum spanning forest of the nations of customers and, below zero, of suppliers, by the least price paid."""
+    customers = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    bought = table(spark, d, "lineitem").join(customers, F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = (
+        bought.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy((-1 - F.col("s_nationkey")).cast("bigint").alias("src"), F.col("c_nationkey").cast("bigint").alias("dst"))
         .agg(F.min("l_extendedprice").alias("weight"))
-        .where("weight < 3000")
     )
+    return graph.minimum_spanning_forest(edges).select("src", "dst", "weight")
 
 
 @query
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.connected_components(_trade(spark, d).where("weight < 1200"))
+    """Parts linked by a brand and size they share, the shared kind numbered below zero."""
+    kind = -(F.regexp_extract("p_brand", "([0-9]+)", 1).cast("bigint") * 100 + F.col("p_size"))
+    return graph.connected_components(table(spark, d, "part").select(kind.alias("src"), F.col("p_partkey").alias("dst")))
 
 
 @query
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return density.density_clusters(planted(spark, d).select("id", "vec"))
+    return density.density_clusters(planted(spark, d).select("id", "vec"), method="exact")
 
 
 @query
 def density_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """Wide groups: clusters come from the tree above the joining distance."""
-    return density.density_clusters(planted(spark, d, 0.3).select("id", "vec"))
+    """Groups that split above the joining distance: their halves are the leaves, what lies alone is noise."""
+    return density.density_clusters(halved(spark, d).select("id", "vec"), method="exact")
+
+
+def same_label(placed: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(id, together): whether enough of the five nearest others have the vector's own label."""
+    near = knn.knn_exact(placed, 5).select("id", "neighbor")
+    other = labels.select(F.col("id").alias("neighbor"), F.col("label").alias("other"))
+    return (
+        near.join(labels, "id")
+        .join(other, "neighbor")
+        .groupBy("id")
+        .agg((F.avg((F.col("label") == F.col("other")).cast("int")) >= least).alias("together"))
+    )
 
 
 @query
 def reduce_dims(spark: SparkSession, d: str) -> DataFrame:
-    reduced = layout.reduce_dims(planted(spark, d).select("id", "vec"), 4, epochs=5)
-    return reduced.select("id", *[F.round(F.col("vec")[i], 3).alias(f"v{i}") for i in range(4)])
+    """Per vector: whether the reduced one has length 1 and still lies among its own label."""
+    rows = planted(spark, d)
+    reduced = Workspace(spark).write(layout.reduce_dims(rows.select("id", "vec")), "reduced")
+    together = same_label(reduced, rows.select("id", "label"), 0.8)
+    unit = F.abs(vectors.norm(F.col("vec")) - 1) < 1e-6
+    return reduced.select("id", F.size("vec").alias("dimensions"), unit.alias("unit")).join(together, "id")
 
 
 @query
 def map_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Per vector: whether it lies on the map among its own label."""
     rows = planted(spark, d)
-    return layout.map_coordinates(rows.select("id", "vec"), rows.select("id", "label"), epochs=5)
+    placed = layout.map_coordinates(rows.select("id", "vec"), rows.select("id", "label"))
+    placed = Workspace(spark).write(placed.select("id", F.array("x", "y").alias("vec")), "placed")
+    return same_label(placed, rows.select("id", "label"), 0.6)
 
 
 @query
 def embed_text(spark: SparkSession, d: str) -> DataFrame:
+    """Length of each vector, and whether upper case and other punctuation leave it as it is."""
     rows = table(spark, d, "documents").select("doc_id", "text")
-    return embed.embed_text(rows, "text").select("doc_id", "embeddings")
+    own = embed.embed_text(rows, "text").select("doc_id", "embeddings")
+    other = rows.withColumn("text", F.concat(F.lit("... "), F.upper(F.regexp_replace("text", "ß", "ss"))))
+    plain = rows.withColumn("text", F.lower(F.regexp_replace("text", "ß", "ss")))
+    pair = [embed.embed_text(x, "text").select("doc_id", F.col("embeddings").alias(n)) for x, n in ((other, "a"), (plain, "b"))]
+    gap = vectors.distance(F.col("a"), F.col("b"))
+    return own.join(pair[0], "doc_id").join(pair[1], "doc_id").select(
+        "doc_id",
+        F.size("embeddings").alias("dimensions"),
+        F.round(vectors.norm(F.col("embeddings")), 4).alias("length"),
+        (gap < 1e-4).alias("alike"),
+    )
 
 
 @query
@@ -815,5 +870,6 @@ def whole_map(spark: SparkSession, d: str) -> DataFrame:
         F.lit("1").alias("latest_version"),
         F.col("n_chars").cast("string").alias("number_of_downloads"),
     )
-    settings = pipeline.MapSettings(epochs=5, top_packages=None)
-    return pipeline.run_pipeline(raw, f"{Workspace(spark).folder}/map", settings)["packages"]
+    records = pipeline.run_pipeline(raw, f"{Workspace(spark).folder}/map", pipeline.MapSettings(top_packages=None))
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("clusterId").isNotNull()
+    return records["packages"].select("id", "name", "summary", "downloads", placed.alias("placed"))

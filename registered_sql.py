@@ -373,7 +373,8 @@ def fuzzy(texts: str, searches: list[tuple[int, str]]) -> str:
         levenshtein(substring(t, i, n), q) <= k)) > 0)) > 0 END"""
 
 
-SEARCHES = [(1, "r"), (2, "bolt"), (3, "RED"), (4, "blue bolt"), (5, "hot rinq"), (6, "anvli"), (7, "new anvil brass")]
+SEARCHES = [(1, "r"), (2, "bolt"), (3, "RED"), (4, "blue bolt"), (5, "hot rinq"), (6, "anvli"), (7, "new anvil brass"),
+            (8, "a new anvil of brass, longer than any name or type")]
 # Names and types repeat: distinct texts are matched once and joined back.
 add(
     "fuzzy_search",
@@ -499,7 +500,14 @@ DISTANCES = """SELECT a.vec_id AS id, b.vec_id AS neighbor,
 KNN = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) - 1 AS rank
   FROM distances) WHERE rank < {k}"""
 add("knn_exact", "SELECT id, rank, neighbor, round(distance, 6) AS distance FROM knn", distances=DISTANCES, knn=KNN.format(k=10))
-add("pairwise_distance", "SELECT id, rank, round(distance, 6) AS distance FROM knn", distances=DISTANCES, knn=KNN.format(k=3))
+add(
+    "pairwise_distance",
+    """SELECT a.cluster_id, a.id, b.id AS other, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance
+    FROM pts a JOIN pts b ON a.cluster_id = b.cluster_id AND a.id < b.id
+    WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.05""",
+    pts=PLACES,
+)
+add("knn_approximate", "SELECT vec_id AS id, 10 AS found, TRUE AS near FROM embeddings")
 add("core_distance", "SELECT id, round(distance, 6) AS core FROM knn WHERE rank = 1", distances=DISTANCES, knn=KNN.format(k=2))
 add(
     "mutual_reachability",
@@ -538,9 +546,11 @@ add(
     "supervise_graph",
     f"SELECT src, dst, round(weight, 5) AS weight FROM ({SYMMETRIC.format(t='scaled')})",
     pts=POINTS, distances=DISTANCES, knn=KNN.format(k=5),
-    weak="""SELECT k.id AS src, neighbor AS dst, 1 / (rank + 1.0::DOUBLE) * CASE
+    ranked="""SELECT least(id, neighbor) AS src, greatest(id, neighbor) AS dst, max(1 / (rank + 1.0::DOUBLE)) AS w
+      FROM knn GROUP BY 1, 2""",
+    weak="""SELECT src, dst, w * CASE
       WHEN a.cluster_id = -1 OR b.cluster_id = -1 THEN exp(-1) WHEN a.cluster_id <> b.cluster_id THEN exp(-5)
-      ELSE 1 END AS weight FROM knn k JOIN pts a ON a.id = k.id JOIN pts b ON b.id = neighbor WHERE k.id < neighbor""",
+      ELSE 1 END AS weight FROM ranked JOIN pts a ON a.id = src JOIN pts b ON b.id = dst""",
     both_ways="SELECT src AS id, dst AS neighbor, weight FROM weak UNION ALL SELECT dst, src, weight FROM weak",
     scaled="SELECT id, neighbor, weight / max(weight) OVER (PARTITION BY id) AS weight FROM both_ways",
 )
@@ -550,13 +560,40 @@ add(
     """SELECT vec_id AS id, dense_rank() OVER (ORDER BY lowest) - 1 AS cluster_id
     FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS lowest FROM embeddings)""",
 )
-TRADE = """SELECT -1 - l_suppkey AS src, l_partkey AS dst, min(l_extendedprice) AS weight FROM lineitem
-  GROUP BY 1, 2 HAVING min(l_extendedprice) < {limit}"""
+# What lies alone is noise; each half of a label is a cluster of its own.
+add(
+    "density_leaves",
+    """SELECT id, -1 AS cluster_id FROM halves WHERE alone UNION ALL
+    SELECT id, dense_rank() OVER (ORDER BY lowest) - 1 FROM (
+      SELECT id, min(id) OVER (PARTITION BY label, id % 2) AS lowest FROM halves WHERE NOT alone)""",
+    halves="SELECT vec_id AS id, label, vec_id % 50 = 7 AS alone FROM embeddings",
+)
+add("reduce_dims", "SELECT vec_id AS id, 16 AS dimensions, TRUE AS unit, TRUE AS together FROM embeddings")
+add("map_coordinates", "SELECT vec_id AS id, TRUE AS together FROM embeddings")
+add("embed_text", "SELECT doc_id, 128 AS dimensions, 1::DOUBLE AS length, TRUE AS alike FROM documents")
+add(
+    "whole_map",
+    """SELECT row_number() OVER (ORDER BY n_chars DESC, 'd' || doc_id) - 1 AS id, 'd' || doc_id AS name, source AS summary,
+    n_chars AS downloads, TRUE AS placed FROM documents""",
+)
+# An edge belongs to the forest if lighter edges do not already connect its ends.
+add(
+    "spanning_forest",
+    "SELECT src, dst, weight FROM e ANTI JOIN reach r ON r.place = e.place AND r.node = e.dst",
+    priced="""SELECT -1 - s_nationkey AS src, c_nationkey AS dst, min(l_extendedprice) AS weight FROM lineitem
+      JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+      JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""",
+    e="SELECT *, row_number() OVER (ORDER BY weight, src, dst) AS place FROM priced",
+    sides="SELECT src, dst, place FROM e UNION ALL SELECT dst, src, place FROM e",
+    reach="""SELECT place, src AS node FROM e UNION SELECT reach.place, sides.dst FROM reach
+      JOIN sides ON sides.src = reach.node AND sides.place < reach.place""",
+)
 add(
     "connected_components",
     "SELECT node AS id, min(other) AS component FROM reach GROUP BY node",
-    e=TRADE.format(limit=1200),
+    e="SELECT -(regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT * 100 + p_size) AS src, p_partkey AS dst FROM part",
     sides="SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e",
     reach="SELECT src AS node, src AS other FROM sides UNION SELECT reach.node, sides.dst FROM reach JOIN sides ON sides.src = reach.other",
 )
-ORACLES["connected_components"] = ORACLES["connected_components"].replace("WITH ", "WITH RECURSIVE ", 1)
+for name in ("connected_components", "spanning_forest"):
+    ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)

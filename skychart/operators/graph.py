@@ -1,61 +1,19 @@
 """Connected components and minimum spanning forests of weighted edge tables.
 
-An edge table has ``src, dst, weight`` with bigint ends. Small inputs, known to be small by their
-counted edges, are solved in one pass inside tasks; larger ones by rounds of joins and grouped minima, each
-round written to the shared folder.
+An edge table has ``src, dst, weight`` with bigint ends. Both work by rounds of joins and grouped minima, each
+round written to the shared folder, until no edge joins two components; the number of edges decides nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skychart.sources.workspace import Workspace
 
-# Edges that one task may hold: some tens of MB.
-LOCAL_EDGES = 200_000
-
 EDGE_COLUMNS = "src bigint, dst bigint, weight double"
 
 
-def in_one_task(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], columns: str) -> DataFrame:
-    """Apply a function to all rows at once; only for tables whose counted rows are within a bound."""
-    return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(function, columns)
-
-
-def _find(parent: dict[int, int], node: int) -> int:
-    root = node
-    while parent.setdefault(root, root) != root:
-        root = parent[root]
-    while parent[node] != root:
-        parent[node], node = root, parent[node]
-    return root
-
-
-def _local_forest(edges: pd.DataFrame) -> pd.DataFrame:
-    """Kruskal over a bounded number of edges; ties by the lower, then the higher end.
-
-    Contracted edges join components ``a`` and ``b`` and are reported by their ends low and high.
-    """
-    if "low" not in edges:
-        ends = edges[["src", "dst"]].to_numpy()
-        edges = edges.assign(low=ends.min(axis=1), high=ends.max(axis=1))
-        edges = edges.assign(a=edges["low"], b=edges["high"])
-    edges = edges.iloc[np.lexsort((edges["high"], edges["low"], edges["weight"]))]
-    parent: dict[int, int] = {}
-    kept = np.zeros(len(edges), dtype=bool)
-    for i, (a, b) in enumerate(zip(edges["a"].tolist(), edges["b"].tolist(), strict=True)):
-        a, b = _find(parent, a), _find(parent, b)
-        if a != b:
-            parent[b] = a
-            kept[i] = True
-    return edges.loc[kept, ["low", "high", "weight"]].set_axis(["src", "dst", "weight"], axis=1)
-
-
 def _roots(parents: DataFrame, space: Workspace) -> DataFrame:
     """Follow parent pointers (node, parent) to their roots by pointer jumping."""
     while True:
@@ -114,42 +72,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = space.replace(labels, "labels")
 
 
-def minimum_spanning_forest(
-    edges: DataFrame, group: str | None = None, local_edges: int = LOCAL_EDGES
-) -> DataFrame:
+def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     """The minimum spanning forest, unique under the order (weight, lower end, higher end).
 
-    ``group`` names a column whose groups share no node. Groups of few edges are bundled and solved
-    inside tasks; the rest takes rounds in which every component picks its least outgoing edge.
+    In each round every component picks its least outgoing edge (Borůvka); the components are hooked together
+    and contracted, which at least halves those that still have an edge.
     """
     space = Workspace(edges.sparkSession)
-    columns = ["src", "dst", "weight"]
-    if group is None:
-        table = space.write(edges.select(*columns), "edges")
-        if table.count() <= local_edges:
-            return in_one_task(table, _local_forest, EDGE_COLUMNS)
-        return _rounds(table, space, local_edges)
-
-    table = space.write(edges.select(group, *columns), "edges")
-    sizes = space.write(table.groupBy(group).agg(F.count("*").alias("_n")), "sizes")
-    totals = sizes.agg(
-        F.sum(F.when(F.col("_n") <= local_edges, F.col("_n"))).alias("small"),
-        F.count_if(F.col("_n") > local_edges).alias("n_large"),
-    ).first()
-    bundles = (totals["small"] or 0) // max(local_edges, 1) * 2 + edges.sparkSession.sparkContext.defaultParallelism
-    small = (
-        table.join(sizes.where(F.col("_n") <= local_edges), group, "left_semi")
-        .groupBy(F.pmod(F.xxhash64(group), F.lit(bundles)).alias("_bundle"))
-        .applyInPandas(_local_forest, EDGE_COLUMNS)
-    )
-    if not totals["n_large"]:
-        return small
-    large = table.join(sizes.where(F.col("_n") > local_edges), group, "left_semi").select(*columns)
-    return small.unionByName(_rounds(space.write(large, "large"), space, local_edges))
-
-
-def _rounds(edges: DataFrame, space: Workspace, local_edges: int) -> DataFrame:
-    """Borůvka: least outgoing edge per component, hook, contract; each round at least halves them."""
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     rest = edges.select(
         low.alias("a"), high.alias("b"), "weight", low.alias("low"), high.alias("high")
@@ -157,9 +86,7 @@ def _rounds(edges: DataFrame, space: Workspace, local_edges: int) -> DataFrame:
     forest = []
     while True:
         rest = space.replace(rest, "rest")
-        n_edges = rest.count()
-        if n_edges <= local_edges:
-            forest.append(in_one_task(rest, _local_forest, EDGE_COLUMNS))
+        if rest.isEmpty():
             break
         choice = space.replace(
             _both_ways(rest, "a", "b", "weight", "low", "high")
@@ -187,6 +114,8 @@ def _rounds(edges: DataFrame, space: Workspace, local_edges: int) -> DataFrame:
             .agg(F.min(F.struct("weight", "low", "high")).alias("e"))
             .select("a", "b", "e.*")
         )
+    if not forest:
+        return edges.sparkSession.createDataFrame([], EDGE_COLUMNS)
     result = forest[0]
     for part in forest[1:]:
         result = result.unionByName(part)

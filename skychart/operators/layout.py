@@ -23,16 +23,13 @@ MIN_SCALE = 1e-3
 FAR = 2.5
 UNKNOWN = 1.0
 
-# Up to this many vectors the neighbours are exact.
-EXACT_ROWS = 100_000
-
 NEGATIVES = 5
 
 
-def neighbors(vectors: DataFrame, k: int, method: str = "auto") -> DataFrame:
-    """k nearest neighbours: exact for tables of moderate size, approximate beyond."""
-    if method == "auto":
-        method = "exact" if vectors.limit(EXACT_ROWS + 1).count() <= EXACT_ROWS else "approximate"
+def neighbors(vectors: DataFrame, k: int, method: str) -> DataFrame:
+    """k nearest neighbours, ``exact`` (quadratic where nothing can be ruled out) or ``approximate`` (near-linear)."""
+    if method not in ("exact", "approximate"):
+        raise ValueError(f"no such method: {method}")
     return knn_exact(vectors, k) if method == "exact" else knn_approximate(vectors, k)
 
 
@@ -268,7 +265,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 def _graph(unit: DataFrame, knn: DataFrame | None, n_neighbors: int) -> DataFrame:
     if knn is None:
-        knn = Workspace(unit.sparkSession).write(neighbors(unit, n_neighbors - 1), "knn")
+        knn = Workspace(unit.sparkSession).write(neighbors(unit, n_neighbors - 1, "approximate"), "knn")
     return fuzzy_graph(knn.where(F.col("rank") < n_neighbors - 1), n_neighbors)
 
 

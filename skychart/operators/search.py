@@ -9,29 +9,19 @@ from pyspark.sql import functions as F
 
 from skychart.operators.spread import spread
 
-# Share of the query that may differ, results shown, and the longest pattern matched
-# in one go (longer queries match if any of their parts does).
+# Share of the query that may differ, and results shown.
 THRESHOLD = 0.2
 LIMIT = 25
-MAX_PATTERN = 32
+# Patterns that meet the texts in one pass: some hundred bytes each, so a set is small enough to broadcast.
+PATTERN_SET = 1000
 
 
 def _patterns(queries: DataFrame, threshold: float) -> DataFrame:
     """Lower-cased patterns with the errors allowed and the pieces of which one must occur.
 
     With k errors spread over k + 1 pieces, some piece is untouched: a text without any piece
-    cannot match. A piece is found by its first two or three characters.
+    cannot match.
     """
-    text = F.col("pattern")
-    n = F.length(text)
-    starts = F.when(n <= MAX_PATTERN, F.array(F.lit(1))).otherwise(
-        F.array_distinct(
-            F.concat(
-                F.sequence(F.lit(1), n - MAX_PATTERN + 1, F.lit(MAX_PATTERN)),
-                F.array(n - MAX_PATTERN + 1),
-            )
-        )
-    )
     size = F.length("pattern")
     count = F.col("errors") + 1
     pieces = F.transform(
@@ -45,38 +35,14 @@ def _patterns(queries: DataFrame, threshold: float) -> DataFrame:
     return (
         queries.where(F.length("query") > 1)
         .withColumn("pattern", F.lower("query"))
-        .withColumn("_start", F.explode(starts))
-        .withColumn("pattern", F.substring(F.col("pattern"), F.col("_start"), F.lit(MAX_PATTERN)))
         .withColumn("errors", F.floor(size * F.lit(threshold) + 1e-9).cast("int"))
         .withColumn("pieces", pieces)
         .select("query_id", "pattern", "errors", "pieces")
     )
 
 
-def _grams(text: Column) -> Column:
-    """All distinct runs of two and of three characters."""
-    runs = F.transform(
-        F.array(F.split(text, "")),
-        lambda chars: F.concat(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(chars) - 2, F.lit(0))),
-                lambda i: F.concat(chars[i], F.coalesce(F.get(chars, i + 1), F.lit(""))),
-            ),
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(chars) - 3, F.lit(0))),
-                lambda i: F.concat(
-                    chars[i],
-                    F.coalesce(F.get(chars, i + 1), F.lit("")),
-                    F.coalesce(F.get(chars, i + 2), F.lit("")),
-                ),
-            ),
-        ),
-    )
-    return F.array_distinct(F.flatten(runs))
-
-
-def _matches(text: Column, pattern: Column, errors: Column, pieces: Column, most: int) -> Column:
-    """Does some substring of the whole text lie within ``errors`` (up to ``most``) edits of the pattern?
+def _matches(text: Column, pattern: Column, errors: Column, pieces: Column) -> Column:
+    """Does some substring of the whole text lie within ``errors`` edits of the pattern?
 
     A match holds one piece unchanged and shifted by at most ``errors``: only the surroundings of
     the places where a piece occurs are compared, for every start and length a match can have.
@@ -93,9 +59,7 @@ def _matches(text: Column, pattern: Column, errors: Column, pieces: Column, most
                 F.sequence(F.lit(1), 2 * errors + 1),
                 lambda start: F.exists(
                     F.sequence(n - errors, n + errors),
-                    lambda size: F.levenshtein(F.substring(w, start, size), pattern, most).between(
-                        F.lit(0), errors
-                    ),
+                    lambda size: F.levenshtein(F.substring(w, start, size), pattern) <= errors,
                 ),
             ),
         )
@@ -127,40 +91,36 @@ def fuzzy_hits(
     keys: Sequence[str] = ("name", "summary"),
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """(query_id, id) of every point with a key that matches the query, each pair once.
+    """(query_id, id) of every point with a key that matches the whole query, each pair once.
 
-    Texts and queries meet on shared character runs; a text that shares none is never paired.
+    The texts are read once for every ``PATTERN_SET`` queries: a set of patterns is one row, broadcast to the points, and a
+    text is compared closely only with those of which a piece occurs in it.
     """
     patterns = _patterns(queries, threshold)
-    entries = patterns.select(
-        "query_id", "pattern", "errors", "pieces", F.posexplode("pieces").alias("_i", "_piece")
-    ).withColumn("_gram", F.substring("_piece", 1, 3))
-
-    texts = {k: F.lower(F.coalesce(F.col(k), F.lit(""))) for k in keys}
-    lowered = spread(points).select("id", *[t.alias(f"_t_{k}") for k, t in texts.items()])
-    columns = [F.col(f"_t_{k}") for k in keys]
-    grams = F.array_distinct(F.concat(*[_grams(c) for c in columns]))
-    # Only ids travel with the runs; the texts come back for the candidates alone.
-    candidates = lowered.select("id", F.explode(grams).alias("_gram")).join(entries, "_gram")
-
-    def found(piece: Column) -> Column:
-        hit = columns[0].contains(piece)
-        for c in columns[1:]:
-            hit = hit | c.contains(piece)
-        return hit
-
-    # Several pieces may occur: the pair is kept for the first of them only.
-    first = found(F.col("_piece")) & ~F.exists(
-        F.slice("pieces", F.lit(1), F.col("_i")), lambda p: found(p)
-    )
-    most = int(MAX_PATTERN * threshold + 1e-9)
-    pattern = (F.col("pattern"), F.col("errors"), F.col("pieces"), most)
-    matched = _matches(columns[0], *pattern)
-    for c in columns[1:]:
-        matched = matched | _matches(c, *pattern)
-    return (
-        candidates.join(lowered, "id").where(first).where(matched).select("query_id", "id").distinct()
+    n_sets = max(1, -(-patterns.count() // PATTERN_SET))
+    # Dealt by order, so no set is larger than the bound.
+    order = Window.orderBy("query_id", "pattern")
+    numbered = patterns.withColumn("_set", F.pmod(F.row_number().over(order), F.lit(n_sets)))
+    sets = numbered.groupBy("_set").agg(
+        F.collect_list(F.struct("query_id", "pattern", "errors", "pieces")).alias("_patterns")
     )
+    texts = [F.lower(F.coalesce(F.col(k), F.lit(""))).alias(f"_t_{k}") for k in keys]
+    lowered = spread(points).select("id", *texts)
+    columns = [F.col(f"_t_{k}") for k in keys]
+
+    def matches(text: Column, p: Column) -> Column:
+        some_piece = F.exists(p["pieces"], lambda piece: text.contains(piece))
+        return some_piece & _matches(text, p["pattern"], p["errors"], p["pieces"])
+
+    def matched(p: Column) -> Column:
+        found = matches(columns[0], p)
+        for text in columns[1:]:
+            found = found | matches(text, p)
+        return found
+
+    met = lowered.join(F.broadcast(sets), F.lit(True))
+    hits = F.transform(F.filter("_patterns", matched), lambda p: p["query_id"])
+    return met.select(F.explode(hits).alias("query_id"), "id").distinct()
 
 
 def fuzzy_search(

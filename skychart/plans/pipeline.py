@@ -16,7 +16,7 @@ from skychart.operators.embed import Encoder, embed_text, hashing_encoder
 from skychart.operators.ranking import global_dense_id
 from skychart.operators.spread import spread
 from skychart.sources import files
-from skychart.sources.workspace import Workspace
+from skychart.sources.workspace import Workspace, scope
 
 MAP_NEIGHBORS = 12
 
@@ -28,6 +28,8 @@ class MapSettings:
     top_packages: int | None = 10_000
     batch_size: int = 128
     encoder_factory: Callable[[], Encoder] = field(default=hashing_encoder)
+    neighbors: str = "approximate"
+    tree: str = "graph"
     reduced_dimensions: int = 16
     epochs: int = 30
     min_cluster_size: int = 8
@@ -60,11 +62,11 @@ def cluster(processed: DataFrame, embeddings: DataFrame, settings: MapSettings)
     numbered = space.write(numbered, "numbered")
     vectors = numbered.select("id", "vec")
     # Both reductions look at the same neighbours; the second at two more of them.
-    knn = space.write(layout.neighbors(layout.unit_vectors(vectors), MAP_NEIGHBORS - 1), "knn")
+    knn = space.write(layout.neighbors(layout.unit_vectors(vectors), MAP_NEIGHBORS - 1, settings.neighbors), "knn")
     reduced = layout.reduce_dims(vectors, settings.reduced_dimensions, epochs=settings.epochs, knn=knn)
     reduced = space.write(reduced, "reduced")
     found = density.density_clusters(
-        reduced, settings.min_cluster_size, settings.min_samples, settings.eps, settings.persistence
+        reduced, settings.min_cluster_size, settings.min_samples, settings.eps, settings.persistence, settings.tree
     )
     found = space.write(found, "found")
     coordinates = layout.map_coordinates(
@@ -94,7 +96,9 @@ def run_pipeline(raw: DataFrame, folder: str, settings: MapSettings | None = Non
     def stage(name: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{folder}/{name}"
         if settings.overwrite or not _exists(spark, path):
-            files.write_parquet(build(), path, settings.overwrite)
+            # The stage's table is complete when the scope deletes what its operators wrote on the way.
+            with scope():
+                files.write_parquet(build(), path, settings.overwrite)
         return files.scan_parquet(spark, path)
 
     processed = stage("processed_dataset", lambda: process(raw, settings))

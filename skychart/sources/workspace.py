@@ -4,10 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+# The workspaces made inside each open scope, the innermost last.
+_scopes: list[list[Workspace]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Delete, at the end, all tables that workspaces made inside have written.
+
+    For callers who write their result before the scope ends: a DataFrame that an operator returns may still
+    read such tables.
+    """
+    made: list[Workspace] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for space in made:
+            space.delete()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +55,13 @@ class Workspace:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/skychart-{uuid.uuid4().hex}"
         self._versions: dict[str, list[str]] = {}
+        if _scopes:
+            _scopes[-1].append(self)
+
+    def delete(self) -> None:
+        """Remove everything written here."""
+        self._delete(self.folder)
+        self._versions.clear()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         versions = self._versions.setdefault(name, [])

@@ -1,4 +1,4 @@
-"""Forests, components and constellations, in one task and in distributed rounds."""
+"""Forests, components and constellations against direct versions."""
 
 import itertools
 import math
@@ -37,12 +37,12 @@ def random_edges(seed, nodes, count):
     return [(a, b, w) for (a, b), w in edges.items()]
 
 
-@pytest.mark.parametrize(("seed", "local"), [(1, 10_000), (2, 0), (3, 12)])
-def test_forest_and_components(spark, seed, local):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_forest_and_components(spark, seed):
     edges = random_edges(seed, 60, 70)
     df = spark.createDataFrame(edges, EDGE)
     want, find = kruskal(edges)
-    got = {tuple(r) for r in graph.minimum_spanning_forest(df, local_edges=local).collect()}
+    got = {tuple(r) for r in graph.minimum_spanning_forest(df).collect()}
     assert got == want
     components = {r["id"]: r["component"] for r in graph.connected_components(df).collect()}
     nodes = {n for e in edges for n in e[:2]}
@@ -58,23 +58,14 @@ def test_long_path_and_star(spark):
     df = spark.createDataFrame(path + star, EDGE)
     got = {r["id"]: r["component"] for r in graph.connected_components(df).collect()}
     assert set(got.values()) == {0, 1000}
-    assert graph.minimum_spanning_forest(df, local_edges=0).count() == 120
-
-
-@pytest.mark.parametrize("local", [10_000, 40])
-def test_forest_of_groups(spark, local):
-    rows = []
-    for g in range(4):
-        rows += [(g, a + 100 * g, b + 100 * g, w) for a, b, w in random_edges(g, 25, 15 * (g + 1))]
-    df = spark.createDataFrame(rows, f"g int, {EDGE}")
-    want, _ = kruskal([r[1:] for r in rows])
-    assert {tuple(r) for r in graph.minimum_spanning_forest(df, "g", local).collect()} == want
+    assert graph.minimum_spanning_forest(df).count() == 120
 
 
 POINT = "name string, x double, y double, cluster_id int, weekly_downloads bigint"
+# Two right triangles with sides 3, 4, 5 and 6, 8, 10: the tree of each are its two short sides.
 TRIANGLES = [
-    ("a", 0.0, 0.0, 1, 100), ("b", 0.1, 0.0, 1, 200), ("c", 0.05, 0.1, 1, 150),
-    ("d", 0.5, 0.5, 2, 300), ("e", 0.6, 0.5, 2, 250), ("f", 0.55, 0.6, 2, 350),
+    ("north", 10.0, 14.0, 4, 31), ("corner", 10.0, 10.0, 4, 12), ("east", 13.0, 10.0, 4, 57),
+    ("up", -20.0, 8.0, 7, 44), ("origin", -20.0, 0.0, 7, 90), ("right", -14.0, 0.0, 7, 23),
 ]
 
 
@@ -83,13 +74,11 @@ def test_two_clusters(spark):
     got = constellations.constellations(df, fraction=0.5, min_points=3, cutoff=10.0)
     assert got.columns == ["cluster_id", "from_package", "to_package", "from_x", "from_y", "to_x", "to_y"]
     edges = {(r[0], *sorted(r[1:3])) for r in got.collect()}
-    # The two other sides of each triangle are equally long but for rounding.
-    assert len(edges) == 4
-    assert {(1, "a", "b"), (2, "d", "e")} < edges
+    assert edges == {(4, "corner", "north"), (4, "corner", "east"), (7, "origin", "up"), (7, "origin", "right")}
 
 
 def test_noise_has_no_edges(spark):
-    rows = [(n, x, y, -1 if c == 1 else 1, w) for n, x, y, c, w in TRIANGLES]
+    rows = [(n, x, y, -1 if c == 4 else 1, w) for n, x, y, c, w in TRIANGLES]
     got = constellations.constellations(spark.createDataFrame(rows, POINT), 0.5, 3, 10.0).collect()
     assert {r["cluster_id"] for r in got} == {1}
     assert len(got) == 2

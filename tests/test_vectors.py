@@ -93,7 +93,7 @@ def test_layout_repeats_and_keeps_groups_apart(spark):
     data, of = blobs(n=60, dims=16)
     df = frame(spark, data)
     labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(of)], "id bigint, label int")
-    near = Workspace(spark).write(layout.neighbors(layout.unit_vectors(df), 11), "knn")
+    near = Workspace(spark).write(layout.neighbors(layout.unit_vectors(df), 11, "exact"), "knn")
     runs = []
     for partitions in (1, 5):
         placed = layout.map_coordinates(df.repartition(partitions), labels, epochs=8, knn=near)
@@ -168,7 +168,7 @@ def scattered(seed):
 @pytest.mark.parametrize("seed", range(3))
 def test_density_equals_the_definition(spark, seed):
     data = scattered(seed)
-    tree = Workspace(spark).write(density.reachability_tree(frame(spark, data)), "tree")
+    tree = Workspace(spark).write(density.reachability_tree(frame(spark, data), 2, "exact"), "tree")
     for size, eps in ((4, 0.0), (4, 0.7), (3, 50.0)):
         want = direct_clusters(data, size, eps)
         got = density.clusters_of_tree(tree, size, eps, persistence=0.0)
@@ -177,7 +177,7 @@ def test_density_equals_the_definition(spark, seed):
 
 @pytest.mark.parametrize(("seed", "persistence"), [(1, 0.0), (2, 0.5)])
 def test_density_rounds_equal_one_task(spark, seed, persistence):
-    tree = Workspace(spark).write(density.reachability_tree(frame(spark, scattered(seed))), "tree")
+    tree = Workspace(spark).write(density.reachability_tree(frame(spark, scattered(seed)), 2, "exact"), "tree")
     once = cluster_ids(density.clusters_of_tree(tree, 4, 0.3, persistence))
     rounds = cluster_ids(density.clusters_of_tree(tree, 4, 0.3, persistence, local_edges=12))
     assert rounds == once
