@@ -835,11 +835,14 @@ def reduce_dims(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def map_coordinates(spark: SparkSession, d: str) -> DataFrame:
-    """Per vector: whether it lies on the map among its own label."""
+    """Per label: whether nearly all of its vectors lie on the map among their own label."""
     rows = planted(spark, d)
     placed = layout.map_coordinates(rows.select("id", "vec"), rows.select("id", "label"))
     placed = Workspace(spark).write(placed.select("id", F.array("x", "y").alias("vec")), "placed")
-    return same_label(placed, rows.select("id", "label"), 0.6)
+    together = same_label(placed, rows.select("id", "label"), 0.6).join(rows.select("id", "label"), "id")
+    return together.groupBy("label").agg(
+        F.count("*").alias("n"), (F.avg(F.col("together").cast("int")) >= 0.95).alias("together")
+    )
 
 
 @query

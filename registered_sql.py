@@ -569,7 +569,7 @@ add(
     halves="SELECT vec_id AS id, label, vec_id % 50 = 7 AS alone FROM embeddings",
 )
 add("reduce_dims", "SELECT vec_id AS id, 16 AS dimensions, TRUE AS unit, TRUE AS together FROM embeddings")
-add("map_coordinates", "SELECT vec_id AS id, TRUE AS together FROM embeddings")
+add("map_coordinates", "SELECT label, count(*) AS n, TRUE AS together FROM embeddings GROUP BY label")
 add("embed_text", "SELECT doc_id, 128 AS dimensions, 1::DOUBLE AS length, TRUE AS alike FROM documents")
 add(
     "whole_map",
