@@ -134,6 +134,16 @@ def runs(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np
     return value[valid], np.where(counts >= k, counts - k + 1, (counts > 0).astype(counts.dtype))
 
 
+def run_sums(numbers: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Sums of a number per word over the runs that ``runs`` gives, in the same order."""
+    ends = np.cumsum(counts)
+    place = np.arange(len(numbers))
+    first, last = np.repeat(ends - counts, counts), np.repeat(ends, counts)
+    valid = (place + k <= last) | (place == first)
+    total = np.concatenate([[0], np.cumsum(numbers)])
+    return (total[np.minimum(place + k, last)] - total[:-1])[valid]
+
+
 def sequence_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of each row's whole word sequence."""
     first = np.cumsum(counts) - counts

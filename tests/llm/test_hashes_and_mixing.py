@@ -83,10 +83,10 @@ def near_copies(seed=5):
     texts = [None, "", " \n ", "one", "One", "one two three", "ONE two  three", "z " * 4000]
     passage = " ".join(rng.choices(vocabulary, k=60))
     for _ in range(12):
-        base = rng.choices(vocabulary, k=rng.choice([5, 20, 80, 300]))
-        for _ in range(rng.choice([1, 2, 9])):
+        base = rng.choices(vocabulary, k=rng.choice([5, 20, 80, 150]))
+        for _ in range(rng.choice([1, 2, 9, 30])):
             copy = list(base)
-            for _ in range(rng.randrange(0, 1 + len(base) // 30)):
+            for _ in range(rng.randrange(0, 1 + len(base) // 20)):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             texts.append(" ".join(copy).upper() if rng.random() < 0.3 else " ".join(copy))
             texts.append(passage + " " + " ".join(rng.choices(vocabulary, k=rng.choice([3, 30]))))
