@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +20,17 @@ END_ID = 1
 # Pieces that are packed together.
 GROUP_PIECES = 8192
 # Words whose ids a worker keeps, and the longest of them.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+KEPT_WORDS, KEPT_LENGTH = 1_000_000, 64
 # Bytes of ids in one batch of output.
 BATCH_BYTES = 4 << 20
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
 
 
+# Letters, then ASCII punctuation without an apostrophe: the tokenizer always cuts between the two.
+_LETTERS_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordTokens:
     """Ids of whole texts from the ids of their parts between spaces, which the tokenizer never joins."""
 
@@ -36,22 +43,33 @@ class WordTokens:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self._known)
-        long = [w for w in missing if len(w) > KEPT_LENGTH]
-        short = [w for w in missing if len(w) <= KEPT_LENGTH]
-        if len(self._known) + len(short) > KEPT_WORDS:
-            self._known = {"": b""}
-            short = [w for w in set().union(*split) if 0 < len(w) <= KEPT_LENGTH]
-        self._known.update(zip(short, self._encoded(short), strict=True))
         known = self._known
-        if long:
-            known = known | dict(zip(long, self._encoded(long), strict=True))
-        return [b"".join([known[w] for w in parts]) for parts in split]
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        missing = set().union(*split).difference(known)
+        pairs = {}
+        for w in missing:
+            m = _LETTERS_AND_MARKS.fullmatch(w)
+            if m and m[1].isalpha():
+                # The tokenizer lowers all letters; here only ASCII, where both agree.
+                pairs[w] = (m[1].lower() if m[1].isascii() else m[1], m[2])
+        new = [w for w in {*(missing - pairs.keys()), *(x for p in pairs.values() for x in p)} if w not in known]
+        found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        known.update(zip(new, [array("I", e.ids).tobytes() for e in found], strict=True))
+        known.update({w: known[a] + known[b] for w, (a, b) in pairs.items()})
+        ids = [b"".join([known[w] for w in parts]) for parts in split]
+        # Long words, and all new ones once the table is full, are forgotten again.
+        full = len(known) > KEPT_WORDS
+        for w in missing.union(new):
+            if full or len(w) > KEPT_LENGTH:
+                known.pop(w, None)
+        known[""] = b""
+        return ids
+
+
+@cache
+def word_tokens(path: str) -> WordTokens:
+    """One table for all tasks that a worker runs after each other."""
+    return WordTokens(path)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -64,7 +82,7 @@ def tokenized(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id:
     step = 4 * sequence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokens(tokenizer)
+        encode = word_tokens(tokenizer)
         end = int(end_id).to_bytes(4, "little")
         schema = pa.schema(
             [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())]
