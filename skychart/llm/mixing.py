@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,19 +24,20 @@ LONG, MEDIUM = 1000, 100
 
 def n_tokens(text: Column) -> Column:
     """Words between ASCII white space."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", " "))
-    return F.when(trimmed == "", F.lit(0)).otherwise(
-        F.length(trimmed) - F.length(F.translate(trimmed, " ", "")) + 1
-    ).cast("bigint")
+    words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
+    return words.cast("bigint")
+
+
+def _occurrences(text: Column, character: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(character), F.lit("")))
 
 
 def topic(text: Column, tokens: Column) -> Column:
     """What a text is about by its form, where the table has no topics: tables, symbols, or prose by length."""
     text = F.coalesce(text, F.lit(""))
-    bars = F.length(text) - F.length(F.translate(text, "|", ""))
-    marks = F.length(text) - F.length(F.translate(text, "#$%&*", ""))
+    marks = reduce(add, [_occurrences(text, c) for c in "#$%&*"])
     return (
-        F.when(bars * 5 > tokens, "table")
+        F.when(_occurrences(text, "|") * 5 > tokens, "table")
         .when(marks > tokens, "symbols")
         .when(tokens >= LONG, "long")
         .when(tokens >= MEDIUM, "medium")
