@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -19,21 +21,28 @@ from skychart.sources.workspace import Workspace
 
 # Labelled rows that the index is fitted on: those with the smallest hash of their id.
 MAX_EXAMPLES = 20_000
-# Terms of the index, and the least chi-square of a term's link with the label.
-MAX_TERMS, MIN_CHI2 = 512, 20.0
+# A term's chi-square with the label below which the link is taken for noise and adds no weight.
+MIN_CHI2 = 20.0
 # Besides whole words, their beginnings of this length are terms, which finds inflected and joined forms.
 STEM = 5
 NEIGHBOURS = 25
 BLOCK = 64
-# The weight of the base rate in a vote, in units of one equal example.
+# The terms with most postings, kept as columns, and queries that are searched in step.
+COLUMNS, QUERIES = 1024, 64
+# Words that no example has are counted over all documents in so many hash groups.
+OTHER_BITS = 21
+# The weight of the base rate in a vote, in units of one example without any likeness.
 PRIOR_WEIGHT = 1.0
-# Distinct vectors whose score a worker keeps.
+# Added to the distance 1 - cosine, by which votes are divided.
+NEAREST = 0.01
+# Distinct texts whose score a worker keeps.
 KEPT_SCORES = 100_000
 # The part of the ids that never trains: crc32(doc_id as text) mod 5 = 0.
 FOLDS = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TERM = "term string, toxic bigint, n bigint"
+_SLOT = "slot bigint, n bigint"
 _NEAR = T.ArrayType(
     T.StructType(
         [T.StructField("example", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("toxic", T.DoubleType())]
@@ -55,81 +64,157 @@ def terms_of(distinct: set[str]) -> set[str]:
     return distinct | {w[:STEM] + "*" for w in distinct if len(w) > STEM}
 
 
-def term_counts(words: list[str], vocabulary: dict[str, int]) -> tuple[tuple[int, int], ...]:
-    """(term, occurrences) of the vocabulary's terms, ascending."""
-    distinct = set(words)
-    hits = vocabulary.keys() & terms_of(distinct)
-    if not hits:
-        return ()
-    counts = Counter(words)
-    found: Counter[int] = Counter()
+def counted(text: str | None) -> Counter[str]:
+    """Occurrences of words, and of beginnings of longer words marked by a star."""
+    counts = Counter(words_of(text))
+    stems: Counter[str] = Counter()
     for w, n in counts.items():
-        if w in hits:
-            found[vocabulary[w]] += n
-        stem = w[:STEM] + "*"
-        if len(w) > STEM and stem in hits:
-            found[vocabulary[stem]] += n
-    return tuple(sorted(found.items()))
+        if len(w) > STEM:
+            stems[w[:STEM] + "*"] += n
+    counts.update(stems)
+    return counts
+
+
+def other_slot(term: str) -> int:
+    """The hash group of a term that no example has."""
+    return zlib.crc32(term.encode("utf-8", "replace")) >> (32 - OTHER_BITS)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Distinct example vectors by term, in blocks of fixed ranges with their largest weight.
+    """Distinct example vectors by term, in blocks of fixed ranges with their largest weights.
 
-    A query's best score in a block is at most the sum over its terms of its weight times the block's
-    largest weight; blocks are opened by that bound, and the search ends when no unopened block can
-    hold a nearer example. The result is exact.
+    Terms with many postings are columns of a matrix, the others have lists. A query's best score in a block
+    is at most what the lists give there plus the sum over the columns of its weight times the block's largest weight. Each query
+    opens its best block, then all blocks whose bound reaches the worst of the best found so far.
+    The result is exact; scores are as precise as weights of single precision.
     """
 
     idf: np.ndarray
     block: int = BLOCK
-    postings: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    block_max: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     size: int = 0
+    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    listed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+
+    def __getstate__(self) -> dict:
+        """What is sent to tasks: of the columns only what is not zero, and numbers of examples in two bytes where they fit."""
+        at = np.flatnonzero(self.dense)
+        small = np.uint16 if self.size < 1 << 16 else np.int32
+        place = at.astype(np.uint32 if self.dense.size < 1 << 32 else np.int64)
+        lost = {"dense": (self.dense.shape, place, self.dense.ravel()[at]), "ids": self.ids.astype(small), "most": None}
+        return self.__dict__ | lost
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, values = state["dense"]
+        self.__dict__ |= state | {"dense": np.zeros(shape, np.float32), "ids": state["ids"].astype(np.int32)}
+        self.dense.ravel()[at] = values
+        self.most = self._largest()
+
+    def _largest(self) -> np.ndarray:
+        if not self.size:
+            return np.zeros(self.dense.shape, np.float32)
+        return np.maximum.reduceat(self.dense, np.arange(0, self.size, self.block), axis=0)
 
     @classmethod
-    def build(cls, examples: list[tuple[tuple[int, int], ...]], idf: np.ndarray, block: int = BLOCK) -> BlockMaxIndex:
+    def build(cls, examples: Sequence, idf: np.ndarray, block: int = BLOCK, columns: int = COLUMNS) -> BlockMaxIndex:
+        """``examples`` are sequences of (term, occurrences), or arrays of two columns."""
         index = cls(idf, block, size=len(examples))
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, counts in enumerate(examples):
-            for term, weight in index.weights(counts):
-                lists.setdefault(term, []).append((i, weight))
-        for term, entries in lists.items():
-            ids = np.array([e[0] for e in entries])
-            weights = np.array([e[1] for e in entries])
-            blocks, first = np.unique(ids // block, return_index=True)
-            index.postings[term] = (ids, weights)
-            index.block_max[term] = (blocks, np.maximum.reduceat(weights, first))
+        if not examples:
+            index.column, index.first = np.full(len(idf), -1, np.int32), np.zeros(len(idf) + 1, np.int64)
+            return index
+        # Entries are held once, in small types: the driver builds this.
+        both = [(t.astype(np.int32), w.astype(np.float32)) for t, w, _ in map(index._weights, examples)]
+        lengths = np.zeros(len(idf), np.int64)
+        for terms, _ in both:
+            lengths[terms] += 1
+        frequent = np.argsort(-lengths, kind="stable")[:columns]
+        index.column = np.full(len(idf), -1, np.int32)
+        index.column[frequent] = np.arange(len(frequent))
+        index.dense = np.zeros((index.size, len(frequent)), np.float32)
+        lengths[frequent] = 0
+        index.first = np.concatenate([[0], np.cumsum(lengths)])
+        index.ids = np.zeros(index.first[-1], np.int32)
+        index.listed = np.zeros(index.first[-1], np.float32)
+        free = index.first[:-1].copy()
+        for i, (terms, weights) in enumerate(both):
+            place = index.column[terms]
+            index.dense[i, place[place >= 0]] = weights[place >= 0]
+            terms = terms[place < 0]
+            index.ids[free[terms]] = i
+            index.listed[free[terms]] = weights[place < 0]
+            free[terms] += 1
+        index.most = index._largest()
         return index
 
-    def weights(self, counts: tuple[tuple[int, int], ...]) -> list[tuple[int, float]]:
+    def _weights(self, counts, beyond: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
+        """Terms, TF-IDF weights of length 1, and the length; ``beyond`` is the squared length outside the index's terms."""
+        pairs = np.asarray(counts, dtype=np.int64).reshape(-1, 2)
+        raw = (1.0 + np.log(pairs[:, 1])) * self.idf[pairs[:, 0]]
+        length = math.sqrt(float(raw @ raw) + beyond)
+        return pairs[:, 0], raw / length if length else raw, length
+
+    def weights(self, counts) -> list[tuple[int, float]]:
         """TF-IDF weights of length 1."""
-        raw = [(t, (1.0 + math.log(n)) * float(self.idf[t])) for t, n in counts]
-        length = math.sqrt(sum(w * w for _, w in raw))
-        return [(t, w / length) for t, w in raw]
+        terms, weights, _ = self._weights(counts)
+        return list(zip(terms.tolist(), weights.tolist(), strict=True))
 
-    def nearest(self, counts: tuple[tuple[int, int], ...], k: int) -> list[tuple[float, int]]:
+    def nearest(self, counts, k: int) -> list[tuple[float, int]]:
         """The ``k`` nearest examples that share a term, as (cosine, example), ties to the smaller example."""
-        query = self.weights(counts)
-        bounds = np.zeros(-(-self.size // self.block))
-        for term, weight in query:
-            if term in self.block_max:
-                blocks, most = self.block_max[term]
-                bounds[blocks] += weight * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            # The margin covers rounding in sums taken in another order.
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] + 1e-9 < -best[-1][0]):
-                break
-            scores = np.zeros(self.block)
-            for term, weight in query:
-                if term in self.postings:
-                    ids, weights = self.postings[term]
-                    low, high = np.searchsorted(ids, (b * self.block, (b + 1) * self.block))
-                    scores[ids[low:high] - b * self.block] += weight * weights[low:high]
-            best += [(-float(scores[i]), int(b * self.block + i)) for i in np.flatnonzero(scores)]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+        return self.search([(counts, 0.0)], k)[0]
+
+    def search(self, queries: Sequence[tuple], k: int) -> list[list[tuple[float, int]]]:
+        """``nearest`` of several (counts, squared length of other terms) in step."""
+        n, size, block = len(queries), self.size, self.block
+        if not size or not n:
+            return [[] for _ in queries]
+        wide = np.zeros((n, self.dense.shape[1]), np.float64)
+        rest = np.zeros((n, size), np.float64)
+        for i, (counts, beyond) in enumerate(queries):
+            terms, weights, _ = self._weights(counts, beyond)
+            place = self.column[terms]
+            wide[i, place[place >= 0]] = weights[place >= 0]
+            terms, weights = terms[place < 0], weights[place < 0]
+            low, high = self.first[terms], self.first[terms + 1]
+            lengths = high - low
+            at = np.arange(lengths.sum()) + np.repeat(low - (np.cumsum(lengths) - lengths), lengths)
+            if len(at):
+                rest[i] = np.bincount(self.ids[at], self.listed[at] * np.repeat(weights, lengths), minlength=size)
+        narrow = wide.astype(np.float32)
+        cuts = np.arange(0, size, block)
+        # The margin covers rounding in sums taken in another order and precision.
+        bounds = narrow @ self.most.T + np.maximum.reduceat(rest, cuts, axis=1)
+        scores = np.zeros((n, size), np.float32)
+        least = np.full(n, -np.inf)
+
+        def opened(b: int, rows: np.ndarray) -> None:
+            part = slice(b * block, (b + 1) * block)
+            scores[rows, part] = narrow[rows] @ self.dense[part].T + rest[rows, part]
+
+        best = bounds.argmax(axis=1)
+        for b in np.unique(best):
+            rows = np.flatnonzero(best == b)
+            opened(int(b), rows)
+            found = scores[rows, b * block : (b + 1) * block]
+            if found.shape[1] >= k:
+                least[rows] = -np.partition(-found, k - 1, axis=1)[:, k - 1]
+        for b in range(len(cuts)):
+            rows = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] + 1e-4 >= least) & (best != b))
+            if len(rows):
+                opened(b, rows)
+        out = []
+        for i in range(n):
+            near = np.arange(size)
+            if size > k:
+                near = np.flatnonzero(scores[i] >= -np.partition(-scores[i], k - 1)[k - 1] - 1e-4)
+            near = near[scores[i, near] > 0]
+            exact = self.dense[near].astype(np.float64) @ wide[i] + rest[i, near]
+            order = np.lexsort((near, -exact))[:k]
+            out.append([(float(exact[j]), int(near[j])) for j in order])
+        return out
 
 
 def monotone(raw: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +231,10 @@ def monotone(raw: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tuple[np
 
 @dataclass
 class ToxicModel:
-    """The labelled examples: distinct vectors with their labels, and the calibration of their votes."""
+    """The labelled examples: distinct vectors with their labels, and the calibration of their votes.
+
+    ``others`` has the documents, ``total`` in all, that have a word of a hash group which no example has.
+    """
 
     vocabulary: dict[str, int]
     index: BlockMaxIndex
@@ -155,16 +243,32 @@ class ToxicModel:
     base: float
     empty: float
     knots: tuple[np.ndarray, np.ndarray] | None = None
+    others: np.ndarray = field(default_factory=lambda: np.zeros(1 << OTHER_BITS, np.int32))
+    total: int = 0
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, float] | None:
+        """(term, occurrences) of the examples' terms, and the squared length of all others; None without words."""
+        counts = counted(text)
+        if not counts:
+            return None
+        terms = np.array([self.vocabulary.get(t, -1) for t in counts], np.int64)
+        times = np.array(list(counts.values()), np.int64)
+        new = terms < 0
+        slots = [other_slot(t) for t, other in zip(counts, new.tolist(), strict=True) if other]
+        idf = np.log(1.0 + self.total / np.maximum(1, self.others[slots])) if slots else np.zeros(0)
+        beyond = float((((1.0 + np.log(times[new])) * idf) ** 2).sum())
+        return np.column_stack([terms[~new], times[~new]]), beyond
 
     def vote(self, near: list[tuple[float, int]], left_out: int = -1) -> float:
-        """The share of toxic examples among the neighbours, weighted by squared cosine; one copy may be left out."""
+        """The share of toxic examples among the neighbours, weighted by distance; one copy may be left out."""
         total, toxic = PRIOR_WEIGHT, PRIOR_WEIGHT * self.base
         for s, i in near:
             n, t = self.count[i], self.toxic[i]
             if i == left_out:
                 n, t = n - 1, t * (n - 1) / n
-            total += s * s * n
-            toxic += s * s * t
+            weight = s * s / (max(0.0, 1.0 - s) + NEAREST)
+            total += weight * n
+            toxic += weight * t
         return toxic / total
 
     def calibrated(self, raw: float) -> float:
@@ -172,12 +276,16 @@ class ToxicModel:
             return raw
         return float(min(1.0, max(0.0, np.interp(raw, *self.knots))))
 
-    def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, list[tuple[float, int]]]:
-        """Probability and evidence; a text without any term of the index has the rate of such examples."""
-        if not counts:
-            return self.empty, []
-        near = self.index.nearest(counts, NEIGHBOURS)
-        return self.calibrated(self.vote(near)), near
+    def scores(self, texts: Sequence[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Probability and evidence of each text; one without words has the rate of such examples."""
+        out: list = [(self.empty, [])] * len(texts)
+        for low in range(0, len(texts), QUERIES):
+            vectors = [self.vector(t) for t in texts[low : low + QUERIES]]
+            asked = [i for i, v in enumerate(vectors) if v is not None]
+            found = self.index.search([vectors[i] for i in asked], NEIGHBOURS)
+            for i, near in zip(asked, found, strict=True):
+                out[low + i] = (self.calibrated(self.vote(near)), near)
+        return out
 
 
 def labelled(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -192,12 +300,46 @@ def labelled(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     )
 
 
+def _frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Documents with each term of the vocabulary, with each hash group of other terms, and in all."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        sums, rows = np.zeros(size + (1 << OTHER_BITS) + 1, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0):
+                found = terms_of(set(words_of(text.as_py())))
+                old = known.keys() & found
+                sums[[known[t] for t in old]] += 1
+                sums[list({size + other_slot(t) for t in found - old})] += 1
+                rows += 1
+        sums[-1] = rows
+        used = np.flatnonzero(sums)
+        for low in range(0, len(used), 1 << 16):
+            part = used[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part])], names=["slot", "n"])
+
+    found = (
+        docs.select(F.col("text").cast("string"))
+        .mapInArrow(run, _SLOT)
+        .groupBy("slot")
+        .agg(F.sum("n").alias("n"))
+        .toArrow()
+    )
+    shared.destroy()
+    sums = np.zeros(size + (1 << OTHER_BITS) + 1, np.int64)
+    sums[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return sums[:size], sums[size:-1].astype(np.int32), int(sums[-1])
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> ToxicModel:
     """Learn from labelled documents outside the held-out fold.
 
-    ``max_examples`` bounds the rows that are learned from, so the index, which every task gets, has a fixed
-    bound: ``max_examples`` vectors over ``MAX_TERMS`` terms. Terms are words and beginnings of words whose
-    link with the label is strong and positive. Without labelled rows the model knows nothing: every score is 0.
+    ``max_examples`` bounds the rows that are learned from; the index, which every task gets, has all words and
+    beginnings of their texts. Frequencies of terms are those in all documents. A term's weight is its idf, times one plus
+    the root of its chi-square beyond ``MIN_CHI2`` where it is linked with the label.
+    Without labelled rows the model knows nothing: every score is 0.
     """
     space = Workspace(docs.sparkSession)
     chosen = space.write(labelled(labels, max_examples), "labelled")
@@ -222,88 +364,124 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
             both = [(t, toxic, c) for toxic in (0, 1) for t, c in found[toxic].items()]
             yield pd.DataFrame(both, columns=["term", "toxic", "n"])
 
-    counts = examples.mapInPandas(seen, _TERM).groupBy("term").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
-        F.sum("n").alias("df"),
+    # At most the distinct words of max_examples rows.
+    terms = (
+        examples.mapInPandas(seen, _TERM)
+        .groupBy("term")
+        .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("df"))
+        .orderBy("term")
+        .toArrow()
     )
+    vocabulary = {t.as_py(): i for i, t in enumerate(terms.column("term"))}
+    a, df = (terms.column(c).to_numpy().astype(np.float64) for c in ("a", "df"))
+    del terms
     # Chi-square of the two-by-two table of term and label.
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
-    chi2 = F.try_divide(n * F.pow(a * n - df * n1, F.lit(2)), df * (n - df) * float(n1) * n0)
-    best = (
-        counts.withColumn("chi2", F.coalesce(chi2, F.lit(float(n))))
-        .where((F.col("chi2") >= MIN_CHI2) & (a * n > df * n1))
-        .orderBy(F.desc("chi2"), "term")
-        .limit(MAX_TERMS)
-        .collect()
-    )
-    vocabulary = {r["term"]: i for i, r in enumerate(best)}
-    idf = np.array([math.log(1.0 + n / r["df"]) for r in best])
+    below = df * (n - df) * float(n1) * n0
+    chi2 = np.divide(n * (a * n - df * n1) ** 2, below, out=np.zeros(len(df)), where=below > 0)
+    link = np.where(a * n > df * n1, np.sqrt(np.maximum(0.0, chi2 - MIN_CHI2)), 0.0)
+    documents, others, total = _frequencies(docs, vocabulary)
+    weight = np.log(1.0 + total / np.maximum(documents, 1)) * (1.0 + link)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [repr(term_counts(words_of(t), vocabulary)) for t in frame["text"]]
-            yield pd.DataFrame({"term": found, "toxic": frame["toxic"].astype("int64"), "n": 1})
-
-    # At most max_examples rows.
-    grouped = (
-        examples.mapInPandas(vectors, _TERM)
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-        .orderBy("term")
-        .collect()
+            known = shared.value
+            found = [np.array(sorted((known[t], n) for t, n in counted(x).items()), "<u4").tobytes() for x in frame["text"]]
+            yield pd.DataFrame({"vector": found, "toxic": frame["toxic"].astype("int64"), "n": 1})
+
+    grouped = space.write(
+        examples.mapInPandas(vectors, "vector binary, toxic bigint, n bigint")
+        .groupBy("vector")
+        .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")),
+        "vectors",
     )
-    parsed = [(_parsed(r["term"]), r["toxic"], r["n"]) for r in grouped]
-    full = [p for p in parsed if p[0]]
-    blank = next((p for p in parsed if not p[0]), ((), 0, 0))
+    shared.destroy()
+    # At most max_examples rows. Neighbouring numbers go to texts with the same heaviest frequent term, for tight blocks.
+    frequent = np.zeros(len(df))
+    frequent[np.argsort(-df, kind="stable")[:COLUMNS]] = 1.0
+    rows = []
+    for r in grouped.toLocalIterator():
+        pairs = _parsed(r["vector"])
+        lead = int(pairs[np.argmax((weight * frequent)[pairs[:, 0]] * pairs[:, 1]), 0]) if len(pairs) else -1
+        rows.append((lead, bytes(r["vector"]), r["toxic"], r["n"]))
+    rows.sort()
+    full = [r for r in rows if r[1]]
+    blank = next((r for r in rows if not r[1]), (-1, b"", 0, 0))
     base = n1 / n
     model = ToxicModel(
         vocabulary,
-        BlockMaxIndex.build([p[0] for p in full], idf),
-        np.array([float(p[1]) for p in full]),
-        np.array([float(p[2]) for p in full]),
+        BlockMaxIndex.build([_parsed(r[1]) for r in full], weight),
+        np.array([float(r[2]) for r in full]),
+        np.array([float(r[3]) for r in full]),
         base,
-        (blank[1] + PRIOR_WEIGHT * base) / (blank[2] + PRIOR_WEIGHT),
+        (blank[2] + PRIOR_WEIGHT * base) / (blank[3] + PRIOR_WEIGHT),
+        others=others,
+        total=total,
     )
     # Each example is scored by the others; the votes are then mapped to the rates they had.
     if full:
-        raw = np.array([model.vote(model.index.nearest(p[0], NEIGHBOURS), i) for i, p in enumerate(full)])
+        numbers = {hashlib.md5(r[1]).digest(): i for i, r in enumerate(full)}
+        lent = docs.sparkSession.sparkContext.broadcast((replace(model, vocabulary={}, others=np.zeros(0)), numbers))
+
+        def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model, numbers = lent.value
+            for frame in frames:
+                keys = [bytes(v) for v in frame["vector"] if len(v)]
+                for low in range(0, len(keys), QUERIES):
+                    part = keys[low : low + QUERIES]
+                    found = model.index.search([(_parsed(v), 0.0) for v in part], NEIGHBOURS + 1)
+                    own = [numbers[hashlib.md5(v).digest()] for v in part]
+                    raw = [model.vote(_others(near, i, model.count[i]), i) for near, i in zip(found, own, strict=True)]
+                    yield pd.DataFrame({"example": own, "raw": raw})
+
+        cores = max(1, docs.sparkSession.sparkContext.defaultParallelism)
+        raw = np.zeros(len(full))
+        for r in grouped.select("vector").repartition(cores).mapInPandas(votes, "example bigint, raw double").collect():
+            raw[r["example"]] = r["raw"]
+        lent.destroy()
         model.knots = monotone(raw, model.toxic / model.count, model.count)
     return model
 
 
-def _parsed(key: str) -> tuple[tuple[int, int], ...]:
-    numbers = [int(x) for x in re.findall(r"\d+", key)]
-    return tuple(zip(numbers[::2], numbers[1::2], strict=True))
+def _others(near: list[tuple[float, int]], own: int, copies: float) -> list[tuple[float, int]]:
+    """The neighbours an example has without itself, as many as any other text has."""
+    return [x for x in near if x[1] != own or copies > 1][:NEIGHBOURS]
+
+
+def _parsed(key: bytes) -> np.ndarray:
+    return np.frombuffer(key, "<u4").reshape(-1, 2)
 
 
 def scored(docs: DataFrame, model: ToxicModel, keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of every document, with ``_score`` and ``_neighbours``, over its whole text.
 
-    A null or empty text has no terms, and so the rate of the examples without terms. Copies score
+    A null or empty text has no terms, and so the rate of the examples without terms; words that no example has
+    count in a text's length. Copies score
     alike. ``_neighbours`` is the evidence: example numbers (vectors of the index), cosines and shares of toxic
     labels, nearest first. Every row is scored on its own, without an exchange. Columns of the two added names are replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("_score", "_neighbours")]
     near_type = pa.list_(pa.struct([("example", pa.int32()), ("similarity", pa.float64()), ("toxic", pa.float64())]))
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        model, known = shared.value, {}
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column(batch.num_columns - 1):
-                counts = term_counts(words_of(text.as_py()), model.vocabulary)
-                if counts not in known:
-                    if len(known) >= KEPT_SCORES:
-                        known.clear()
-                    score, near = model.score(counts)
-                    rows = [
-                        {"example": i, "similarity": s, "toxic": float(model.toxic[i] / model.count[i])}
-                        for s, i in near[:5]
-                    ]
-                    known[counts] = (score, rows)
-                score, rows = known[counts]
-                scores.append(score)
-                evidence.append(rows)
+            texts = batch.column(batch.num_columns - 1)
+            keys = [hashlib.md5((x.as_py() or "").encode("utf-8", "replace")).digest() for x in texts]
+            if len(known) >= KEPT_SCORES:
+                known.clear()
+            fresh = list({k: i for i, k in enumerate(keys) if k not in known}.items())
+            for low in range(0, len(fresh), QUERIES):
+                part = fresh[low : low + QUERIES]
+                found = model.scores([texts[i].as_py() for _, i in part])
+                known |= {k: (score, near[:5]) for (k, _), (score, near) in zip(part, found, strict=True)}
+            scores = [known[k][0] for k in keys]
+            evidence = [
+                [{"example": i, "similarity": s, "toxic": float(model.toxic[i] / model.count[i])} for s, i in known[k][1]]
+                for k in keys
+            ]
             added = [pa.array(scores, pa.float64()), pa.array(evidence, near_type)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], *added], names=[*kept, "_score", "_neighbours"]

@@ -174,3 +174,41 @@ def test_secret_candidates():
         c.value for c in secretscan.candidates(text) if "example" in c.value or "path" in c.value
     ]
     assert secretscan.candidates("") == []
+
+
+def test_block_max_search_of_lists_and_columns():
+    rng = np.random.default_rng(9)
+    idf = rng.uniform(0.5, 4, 60)
+    examples = [np.array([(t, rng.integers(1, 4)) for t in sorted(rng.choice(60, rng.integers(1, 9), replace=False))]) for _ in range(300)]
+    index = toxicity.BlockMaxIndex.build(examples, idf, block=8, columns=5)
+    dense = np.zeros((len(examples), 60))
+    for i, e in enumerate(examples):
+        for t, w in index.weights(e):
+            dense[i, t] = w
+    for e, near in zip(examples[:64], index.search([(e, 0.0) for e in examples[:64]], 10), strict=True):
+        cosine = dense @ dense[next(i for i, x in enumerate(examples) if x is e)]
+        assert [s for s, _ in near] == pytest.approx(sorted(cosine, reverse=True)[:10], abs=1e-6)
+
+
+def test_copies_of_toxic_examples_without_linked_words(spark):
+    """Half the rows are toxic and no word is found in many of them: copies of examples still have neighbours."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(12))) for i in range(40)]
+    labels = [(i, i % 2) for i in range(40)]
+    trained = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    copies = [(1000 + i, rows[i][1]) for i in trained]
+    docs = spark.createDataFrame([*rows, *copies, (2000, "zzzzzz yyyyyy"), (2001, rows[trained[0]][1] + " zzzzzz")], "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, model).collect()}
+    for i in trained:
+        assert got[1000 + i]["_neighbours"][0]["similarity"] == pytest.approx(1.0)
+        assert got[1000 + i]["_neighbours"][0]["toxic"] == i % 2
+    assert got[2000]["_neighbours"] == []
+    # Document frequencies are those of all rows, and a word that no example has counts in the length.
+    found = toxicity.counted(rows[trained[0]][1])
+    df = {t: sum(t in toxicity.counted(x) for _, x in docs.collect()) for t in [*found, "zzzzzz", "zzzzz*"]}
+    n = docs.count()
+    squares = {t: math.log(1 + n / c) ** 2 for t, c in df.items()}
+    known = sum(squares[t] for t in found)
+    expected = math.sqrt(known / sum(squares.values()))
+    assert got[2001]["_neighbours"][0]["similarity"] == pytest.approx(expected)
