@@ -106,14 +106,15 @@ def mixed(
     temperature: float = TEMPERATURE,
     seed: str = "mix",
 ) -> DataFrame:
-    """Add ``_tokens``, ``_source``, ``_lang``, ``_topic``, ``_ratio``, ``_probability`` and ``_sampled``.
+    """Add ``_tokens``, ``_source``, ``_lang``, ``_topic``, ``_ratio``, ``_probability``, ``_copies`` and ``_sampled``.
 
     Tokens are summed per (source, lang, topic); the sums are raked to the target marginals. ``_ratio`` is a
-    document's calibrated token weight, its cell's raked share over its share of the tokens. Probabilities
-    are proportional to it and 1 where it is largest: the largest sample without repeats whose expected
-    token shares meet the targets. A document is sampled when a hash of seed and doc_id, uniform in [0, 1),
-    lies below its probability, so equal ids are decided alike and any rerun gives the same sample.
-    Texts without words carry no tokens: they keep the weight of their cell if it has tokens, else probability 1.
+    document's calibrated token weight, its cell's raked share over its share of the tokens, and the copies expected of it:
+    ``_copies`` is its whole part, and one more where a hash of seed and doc_id, uniform in [0, 1), lies below the rest. So the
+    expected tokens are those of all documents, their expected shares meet the targets, and no cell changes how
+    much is kept of another one of the same ratio. ``_probability`` that a document is in the sample at all is the ratio, at most 1.
+    Equal ids are decided alike and any rerun gives the same sample.
+    Texts without words carry no tokens: they keep the weight of their cell if it has tokens, else one copy.
     Targets for values that do not occur are ignored, and shares are rescaled; a value without target is dropped from the sample.
     """
     space = Workspace(docs.sparkSession)
@@ -134,13 +135,9 @@ def mixed(
             wanted = tempered(cells, axis, temperature)
         given[axis] = space.write(wanted, f"target{axis}")
     raked = rake(space.write(shares, "cells"), axes, given, space)
-    ratios = raked.crossJoin(F.broadcast(total)).select(
-        *axes, (F.col("weight") * F.col("_total") / F.col("_n")).alias("_ratio")
-    )
-    most = ratios.agg(F.max("_ratio").alias("_most"))
     ratios = space.write(
-        ratios.crossJoin(F.broadcast(most)).select(
-            *axes, "_ratio", F.least(F.col("_ratio") / F.col("_most"), F.lit(1.0)).alias("_probability")
+        raked.crossJoin(F.broadcast(total)).select(
+            *axes, (F.col("weight") * F.col("_total") / F.col("_n")).alias("_ratio")
         ),
         "ratios",
     )
@@ -148,13 +145,19 @@ def mixed(
     uniform = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
     joined = marked.join(ratios, axes, "left")
     dropped = F.lit(0.0) if targets else F.lit(1.0)
-    return joined.withColumns(
-        {
-            "_probability": F.coalesce("_probability", F.when(F.col("_tokens") > 0, dropped).otherwise(1.0)),
-        }
-    ).withColumn("_sampled", uniform < F.col("_probability"))
+    expected = F.coalesce("_ratio", F.when(F.col("_tokens") > 0, dropped).otherwise(1.0))
+    copies = F.floor(expected) + (uniform < expected - F.floor(expected)).cast("bigint")
+    return joined.withColumns({"_probability": F.least(expected, F.lit(1.0)), "_copies": copies}).withColumn(
+        "_sampled", F.col("_copies") > 0
+    )
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled documents, with the columns of ``docs``."""
-    return mixed(docs, **options).where("_sampled").select(*docs.columns)
+def sample(docs: DataFrame, repeats: bool = False, **options) -> DataFrame:
+    """The sampled documents, with the columns of ``docs``: each once, or with ``repeats`` in as many rows as it has copies.
+
+    Only with repeats do the token shares meet the targets; without, cells whose ratio is above 1 fall short.
+    """
+    chosen = mixed(docs, **options).where("_sampled")
+    if repeats:
+        chosen = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
+    return chosen.select(*docs.columns)

@@ -102,5 +102,6 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
         F.col("_tokens").alias("n_tokens"),
         F.col("_ratio").alias("weight"),
         F.col("_probability").alias("probability"),
+        F.col("_copies").alias("copies"),
         F.col("_sampled").alias("sampled"),
     )

@@ -163,3 +163,16 @@ def test_mixing_odd_tables(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
     assert mixing.sample(docs.where("doc_id >= 300")).count() >= 2
     assert [tuple(r) for r in docs.select(mixing.n_tokens(F.col("text"))).where("doc_id >= 300").collect()] == [(0,), (0,)]
+
+
+def test_a_rare_cell_does_not_thin_the_rest(spark):
+    """One document of five words from a new source repeats; the others keep their copies."""
+    rows = [(i, "word " * 60, "en", "ab"[i % 2], "t") for i in range(400)] + [(400, "a b c d e", "en", "new", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, topic string")
+    got = {r["doc_id"]: r for r in mixing.mixed(docs).collect()}
+    assert sum(got[i]["_sampled"] for i in range(400)) > 380
+    assert got[400]["_copies"] > 1 and got[400]["_probability"] == 1.0
+    tokens = sum(r["_tokens"] for r in got.values())
+    assert sum(r["_tokens"] * r["_copies"] for r in got.values()) == pytest.approx(tokens, rel=0.05)
+    kept = collections.Counter(r["doc_id"] for r in mixing.sample(docs, repeats=True).collect())
+    assert kept == {i: r["_copies"] for i, r in got.items() if r["_copies"]}
