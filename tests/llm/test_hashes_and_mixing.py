@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skychart.llm import fingerprints, jaccard, mixing
 
 EXTRA = ", _text string, rep string, comp string, run string, n string, _range string, kind string"
@@ -176,3 +177,18 @@ def test_a_rare_cell_does_not_thin_the_rest(spark):
     assert sum(r["_tokens"] * r["_copies"] for r in got.values()) == pytest.approx(tokens, rel=0.05)
     kept = collections.Counter(r["doc_id"] for r in mixing.sample(docs, repeats=True).collect())
     assert kept == {i: r["_copies"] for i, r in got.items() if r["_copies"]}
+
+
+def test_rows_without_id_hide_and_bridge_nothing(spark):
+    """A null-id copy ahead of a near-copy pair; a null-id text between two that are not alike themselves."""
+    w = [f"w{i}" for i in range(120)]
+    pair = [(None, " ".join(w)), (7, " ".join(w)), (3, " ".join([*w[:-1], "other"]))]
+    chain = [f"v{i}" for i in range(120)]
+    bridge = [(20, " ".join(chain[:100])), (None, " ".join(chain[:110])), (21, " ".join(chain))]
+    lone = [(None, "p q r s t u v"), (None, "p q r s t u v"), (None, ""), (None, None), (None, None)]
+    docs = frame(spark, [*pair, *bridge, *lone]).coalesce(1)
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in jaccard.components(docs, 5, 90).collect())
+    assert got == {(None, 3): 1, (7, 3): 1, (3, 3): 1, (20, 20): 1, (None, 20): 1, (21, 20): 1, (None, None): 5}
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_copy(spark, docs, "").collect())
+    assert sorted(i for i, _ in kept if i is not None) == [3, 20]
+    assert {t: n for (i, t), n in kept.items() if i is None} == {"p q r s t u v": 1, "": 1, None: 2}
