@@ -5,10 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skychart.llm import ann, fingerprints, hmm, jaccard, mixing, packing, quality, secretscan, sharding, toxicity
+from skychart.llm import (
+    ann,
+    fingerprints,
+    hmm,
+    jaccard,
+    mixing,
+    packing,
+    periodic,
+    quality,
+    secretscan,
+    sharding,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,3 +117,29 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
         F.col("_copies").alias("copies"),
         F.col("_sampled").alias("sampled"),
     )
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where about a tenth of the texts repeat a stretch up to their end, as their ids' checksums say."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = (
+        docs.select("doc_id", "text", code.alias("_h"), F.when(code % 10 == 0, words).alias("_words"))
+        .withColumns({"_n": F.size("_words"), "_g": F.floor(F.col("_h") / 10)})
+        .withColumn("_a", F.col("_g") % F.col("_n"))
+        .withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    )
+
+    def place(i: Column) -> Column:
+        return F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")
+
+    repeated = F.array_join(
+        F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.get("_words", place(i))), " "
+    )
+    return cut.select("doc_id", F.when(F.col("_n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    docs = with_planted_repeats(table(spark, d, "documents"))
+    return periodic.digest(periodic.periodic_runs(docs))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Bytes hashed at a time; temporary arrays take about 60 times as much.
 CHUNK = 1 << 20
@@ -155,3 +156,17 @@ def sequence_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
         out.append(mix(sums[first + counts] - sums[first] + counts.astype(np.uint64) * seed))
     return out[0], out[1]
+
+
+def split_words(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of every row as they are written, one after another, and words per row; a null has none.
+
+    Equal words have equal indices, and no two words share one.
+    """
+    parts = pc.ascii_split_whitespace(column.fill_null(""))
+    ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    flat = parts.flatten()
+    # White space at the ends of a text leaves empty parts.
+    solid = pc.not_equal(flat, "")
+    before = np.concatenate([[0], np.cumsum(solid.to_numpy(zero_copy_only=False))])
+    return flat.filter(solid).dictionary_encode(), np.diff(before[ends])
