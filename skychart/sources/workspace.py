@@ -63,10 +63,11 @@ class Workspace:
         self._delete(self.folder)
         self._versions.clear()
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+        """``codec``: a Parquet compression other than the session's."""
         versions = self._versions.setdefault(name, [])
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         versions.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
