@@ -212,21 +212,8 @@ def _reachable_cells(
     return pd.DataFrame(rows, columns=["cell", "other", "least_gap", "n"])
 
 
-def knn_approximate(
-    vectors: DataFrame, k: int, trees: int = 6, leaf: int = 512, refine: int = 1, seed: int = 0
-) -> DataFrame:
-    """Like :func:`knn_exact`, near-linear in the table: most but not all true neighbours are found.
-
-    Each tree sorts the vectors by the sides of random planes they lie on and cuts the order into
-    leaves of a fixed size, so a leaf stays bounded even for identical vectors; neighbours are
-    searched inside leaves. ``refine`` rounds then try the neighbours of neighbours.
-    """
-    spark = vectors.sparkSession
-    space = Workspace(spark)
-    owners, reps = _copies(vectors, k, space)
-    reps = space.write(
-        reps.select("rep", "members", F.col("vec").cast("array<double>").alias("vec")), "reps"
-    )
+def projection_leaves(reps: DataFrame, trees: int, leaf: int, seed: int) -> DataFrame:
+    """(tree, rep, leaf): (rep, vec) sorted by the sides of random planes and cut into leaves of a fixed size, per tree."""
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,10 +230,29 @@ def knn_approximate(
 
     placed = reps.select("rep", "vec").mapInPandas(codes, "tree int, rep bigint, code bigint, along double")
     order = [F.col("code").asc(), F.col("along").asc(), F.col("rep").asc()]
-    placed = running_total(placed, order, ["tree"], out="position").select(
+    return running_total(placed, order, ["tree"], out="position").select(
         "tree", "rep", F.floor(F.col("position") / leaf).alias("leaf")
     )
 
+
+def knn_approximate(
+    vectors: DataFrame, k: int, trees: int = 6, leaf: int = 512, refine: int = 1, seed: int = 0
+) -> DataFrame:
+    """Like :func:`knn_exact`, near-linear in the table: most but not all true neighbours are found.
+
+    Each tree sorts the vectors by the sides of random planes they lie on and cuts the order into
+    leaves of a fixed size, so a leaf stays bounded even for identical vectors; neighbours are
+    searched inside leaves. ``refine`` rounds then try the neighbours of neighbours.
+    """
+    spark = vectors.sparkSession
+    space = Workspace(spark)
+    owners, reps = _copies(vectors, k, space)
+    reps = space.write(
+        reps.select("rep", "members", F.col("vec").cast("array<double>").alias("vec")), "reps"
+    )
+
+    placed = projection_leaves(reps, trees, leaf, seed)
+
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         return _nearest(pdf, pdf, k + 1)
 

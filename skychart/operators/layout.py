@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skychart.functions.vectors import l2_normalize
+from skychart.operators.descent import knn_descent
 from skychart.operators.knn import knn_approximate, knn_exact
 from skychart.operators.ranking import global_dense_id
+from skychart.operators.spectral import spectral_start
 from skychart.sources.workspace import Workspace
 
 # Fixed values of the method: bisection steps and tolerance, least bandwidth as a share of the mean
@@ -24,13 +29,18 @@ FAR = 2.5
 UNKNOWN = 1.0
 
 NEGATIVES = 5
+EPOCHS = 100
+# Positions handed to every task take at most this much; points of a block of edges.
+SHARED_BYTES, POINTS_PER_BLOCK = 1 << 26, 2048
 
 
 def neighbors(vectors: DataFrame, k: int, method: str) -> DataFrame:
-    """k nearest neighbours, ``exact`` (quadratic where nothing can be ruled out) or ``approximate`` (near-linear)."""
-    if method not in ("exact", "approximate"):
+    """k nearest neighbours: ``exact`` (quadratic where nothing can be ruled out), or near-linear by ``descent`` from list to
+    list, or in one pass over the leaves of random trees (``approximate``)."""
+    methods = {"exact": knn_exact, "descent": knn_descent, "approximate": knn_approximate}
+    if method not in methods:
         raise ValueError(f"no such method: {method}")
-    return knn_exact(vectors, k) if method == "exact" else knn_approximate(vectors, k)
+    return methods[method](vectors, k)
 
 
 def _bandwidth(distances: Column, rho: Column, target: float) -> Column:
@@ -165,98 +175,202 @@ def pca(vectors: DataFrame, dimensions: int) -> DataFrame:
     return model.transform(featured).select("id", vector_to_array("p").alias("vec"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spread every input bit over all output bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass(frozen=True)
+class Schedule:
+    """What every epoch needs to know: the force curve and which edges act when."""
+
+    a: float
+    b: float
+    repulsion: float
+    epochs: int
+    seed: int
+    points: int
+
+    def acting(self, weights: np.ndarray, epoch: int) -> np.ndarray:
+        """An edge of weight w (the strongest has 1) acts in the epochs in which w times the epochs so far gains a whole."""
+        return np.floor(weights * (epoch + 1) + 1e-9) > np.floor(weights * epoch + 1e-9)
+
+    def partners(self, rows: np.ndarray, others: np.ndarray, epoch: int) -> np.ndarray:
+        """The points that an edge pushes its own away from: a hash of the edge, the epoch and the seed."""
+        key = _mixed(rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + others.astype(np.uint64))
+        key = _mixed(key + np.uint64(epoch * 1_000_003 + self.seed))
+        drawn = [_mixed(key + np.uint64(s)) % np.uint64(self.points) for s in range(NEGATIVES)]
+        return np.stack(drawn, axis=1).astype(np.int64)
+
+    def moved(self, own: np.ndarray, counts: np.ndarray, others: np.ndarray, pushed: np.ndarray, epoch: int) -> np.ndarray:
+        """New positions of points with ``counts`` acting edges each, one edge after another, all points at once.
+
+        ``others`` are the far ends of the edges, ``pushed`` their partners, both as they stood when the epoch began.
+        """
+        own, rate = own.copy(), 1.0 - epoch / self.epochs
+        first = np.cumsum(counts) - counts
+        for turn in range(int(counts.max(initial=0))):
+            at = np.flatnonzero(counts > turn)
+            edge = first[at] + turn
+            gap = own[at] - others[edge]
+            square = (gap * gap).sum(axis=1, keepdims=True)
+            near = np.maximum(square, 1e-300)
+            pull = np.where(square > 0, -2.0 * self.a * self.b * near ** (self.b - 1.0) / (1.0 + self.a * near**self.b), 0.0)
+            place = own[at] + rate * np.clip(pull * gap, -4.0, 4.0)
+            for s in range(NEGATIVES):
+                gap = place - pushed[edge, s]
+                square = (gap * gap).sum(axis=1, keepdims=True)
+                push = np.where(square > 0, 2.0 * self.repulsion * self.b / ((0.001 + square) * (1.0 + self.a * square**self.b)), 0.0)
+                place += rate * np.clip(push * gap, -4.0, 4.0)
+            own[at] = place
+        # Rounding hides differences in the last digit between platforms.
+        return np.round(own, 6)
+
+
+_LINKS = "row bigint, others array<bigint>, weights array<double>"
+
+
+def _dealt(batch: pa.RecordBatch, plan: Schedule, epoch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(points, acting edges per point, the point of each of these edges, its far end) of (row, others, weights) rows."""
+    rows = batch.column(0).to_numpy()
+    sizes = np.diff(batch.column(1).offsets.to_numpy())
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    acts = plan.acting(batch.column(2).flatten().to_numpy(), epoch)
+    counts = np.bincount(owner[acts], minlength=len(rows))
+    return rows, counts, rows[owner[acts]], batch.column(1).flatten().to_numpy()[acts]
+
+
+def _epochs_by_broadcast(links: DataFrame, positions: np.ndarray, plan: Schedule) -> np.ndarray:
+    """All epochs where the positions of all points fit into every task: the only thing exchanged."""
+    context = links.sparkSession.sparkContext
+    for epoch in range(plan.epochs):
+        shared = context.broadcast(positions)
+
+        def run(batches: Iterator[pa.RecordBatch], epoch: int = epoch, shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            known = shared.value
+            for batch in batches:
+                rows, counts, owner, others = _dealt(batch, plan, epoch)
+                new = plan.moved(known[rows], counts, known[others], known[plan.partners(owner, others, epoch)], epoch)
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * new.shape[1]), pa.array(new.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), vec], names=["row", "vec"])
+
+        found = links.mapInArrow(run, "row bigint, vec array<double>").toArrow()
+        fresh = np.empty_like(positions)
+        fresh[found.column("row").to_numpy()] = found.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, positions.shape[1])
+        positions = fresh
+        shared.destroy()
+    return positions
+
+
+def _epochs_by_join(links: DataFrame, placed: DataFrame, plan: Schedule, space: Workspace) -> DataFrame:
+    """All epochs for any number of points: the positions that an epoch looks at are joined to its acting edges."""
+    for epoch in range(plan.epochs):
+
+        def deal(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, counts, owner, others = _dealt(batch, plan, epoch)
+                turn = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                seen = np.concatenate([others[:, None], plan.partners(owner, others, epoch)], axis=1)
+                width = seen.shape[1]
+                slot = np.repeat(turn * width, width) + np.tile(np.arange(width), len(turn))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(owner, width)), pa.array(slot), pa.array(seen.ravel())], names=["row", "slot", "seen"]
+                )
+
+        def move(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = batch.column(0)
+                own = batch.column(1).flatten().to_numpy().reshape(len(rows), -1)
+                sizes = np.diff(batch.column(2).offsets.to_numpy())
+                slot, vec = batch.column(2).flatten().flatten()
+                order = np.lexsort((slot.to_numpy(), np.repeat(np.arange(len(rows)), sizes)))
+                seen = vec.flatten().to_numpy().reshape(len(slot), -1)[order].reshape(-1, NEGATIVES + 1, own.shape[1])
+                new = plan.moved(own, sizes // (NEGATIVES + 1), seen[:, 0], seen[:, 1:], epoch)
+                out = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * new.shape[1]), pa.array(new.ravel()))
+                yield pa.RecordBatch.from_arrays([rows, out], names=["row", "vec"])
+
+        looked_at = (
+            links.mapInArrow(deal, "row bigint, slot bigint, seen bigint")
+            .join(placed.select(F.col("row").alias("seen"), "vec"), "seen")
+            .groupBy("row")
+            .agg(F.collect_list(F.struct("slot", "vec")).alias("seen"))
+        )
+        nothing = F.array().cast("array<struct<slot: bigint, vec: array<double>>>")
+        ready = placed.join(looked_at, "row", "left").select("row", "vec", F.coalesce("seen", nothing).alias("seen"))
+        placed = space.replace(ready.mapInArrow(move, "row bigint, vec array<double>"), "placed")
+    return placed
+
+
 def layout(
     graph: DataFrame,
     start: DataFrame,
     min_dist: float,
     spread: float = 1.0,
     repulsion: float = 1.0,
-    epochs: int = 30,
+    epochs: int = EPOCHS,
     seed: int = 0,
+    shared_bytes: int = SHARED_BYTES,
 ) -> DataFrame:
     """Positions (id, vec) that pull graph neighbours together and push random others apart.
 
-    One epoch moves all points at once: edges meet the positions of their ends, pulls and pushes
-    are summed per point with partial aggregation, and the new positions are written. The partners to
-    push away come from a hash of (id, epoch, seed), so a run repeats under any partitioning.
+    Over the epochs an edge acts in proportion to its weight. When it acts, it pulls its point towards the far end and pushes it
+    from a few random others; the edges of a point act one after another and see where all others stood
+    when the epoch began, so a run repeats under any partitioning. The edges are dealt once, by blocks of points, and never
+    move again. While all positions take at most ``shared_bytes`` (they are counted), an epoch hands
+    them to every task and needs no shuffle; beyond that they are joined to the acting edges and written once per epoch.
+    Both ways give the same positions.
     """
-    space = Workspace(graph.sparkSession)
-    a, b = curve_parameters(min_dist, spread)
-    dims = len(start.first()["vec"])
-    axes = [f"p{d}" for d in range(dims)]
+    spark = graph.sparkSession
+    space = Workspace(spark)
+    first = start.first()
+    if first is None:
+        return start.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    dims = len(first["vec"])
     largest = start.agg(
         F.greatest(*[F.max(F.abs(F.col("vec")[d])) for d in range(dims)], F.lit(1e-12))
     ).scalar()
-    jitter = [
-        (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(d)), F.lit(1_000_003)) / 1_000_003 - 0.5) * 1e-3
-        for d in range(dims)
-    ]
+
+    def jitter(d: int) -> Column:
+        return (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(d)), F.lit(1_000_003)) / 1_000_003 - 0.5) * 1e-3
+
     scaled = start.select(
-        "id", *[(F.col("vec")[d] / largest * 10 + jitter[d]).alias(axes[d]) for d in range(dims)]
+        "id", F.array(*[F.round(F.col("vec")[d] / largest * 10 + jitter(d), 6) for d in range(dims)]).alias("vec")
     )
-    positions = space.replace(global_dense_id(scaled, [F.col("id").asc()], out="row"), "positions")
-    n = positions.count()
+    numbered = space.write(global_dense_id(scaled, [F.col("id").asc()], out="row"), "numbered")
+    n = numbered.count()
     strongest = graph.agg(F.max("weight")).scalar()
-    edges = space.write(
-        both_directions(graph).select("id", "neighbor", (F.col("weight") / strongest).alias("weight")),
-        "edges",
-    )
-    strength = edges.groupBy("id").agg(F.sum("weight").alias("strength"))
-    # The epoch is a column, so that every epoch runs the same generated code.
-    positions = space.replace(
-        positions.join(strength, "id", "left").fillna(0.0, ["strength"]).withColumn("epoch", F.lit(0)),
-        "positions",
-    )
-
-    def clipped(value: Column) -> Column:
-        return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), value))
-
-    gaps = [F.col(p) - F.col(f"_{p}") for p in axes]
-    square = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
-    d2 = F.col("_d2")
-    curve = 1.0 + a * F.pow(d2, F.lit(b))
-    pull = F.when(d2 > 0, -2.0 * a * b * F.pow(d2, F.lit(b - 1.0)) / curve).otherwise(F.lit(0.0))
-    push = F.when(d2 > 0, 2.0 * repulsion * b / ((0.001 + d2) * curve)).otherwise(F.lit(0.0))
-    rate = 1.0 - F.col("epoch") / epochs
-    partner = F.explode(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(NEGATIVES)),
-            lambda s: F.pmod(F.xxhash64(F.col("id"), s, F.col("epoch"), F.lit(seed)), F.lit(n)),
-        )
+    # What would not act once in all epochs is left out.
+    kept = both_directions(graph).select("id", "neighbor", (F.col("weight") / strongest).alias("weight"))
+    kept = kept.where(F.col("weight") * epochs >= 1)
+    rows = numbered.select("id", "row")
+    edges = kept.join(rows, "id").join(rows.select(F.col("id").alias("neighbor"), F.col("row").alias("other")), "neighbor")
+    gathered = edges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("other", "weight"))).alias("e"))
+    links = rows.join(gathered, "row", "left").select(
+        "row",
+        F.coalesce(F.transform("e", lambda e: e["other"]), F.array().cast("array<bigint>")).alias("others"),
+        F.coalesce(F.transform("e", lambda e: e["weight"]), F.array().cast("array<double>")).alias("weights"),
     )
-    here = ["id", *[F.col(p) for p in axes]]
-    there = [F.col(p).alias(f"_{p}") for p in axes]
-    force = F.col("_f")
-    attracted = ["id", *[(F.col("weight") * clipped(force * g)).alias(p) for p, g in zip(axes, gaps, strict=True)]]
-    repelled = ["id", *[(F.col("strength") * clipped(force * g)).alias(p) for p, g in zip(axes, gaps, strict=True)]]
-    total = [F.sum(p).alias(f"_m_{p}") for p in axes]
-    # Rounding hides the order in which the sums were added up.
-    moved = [
-        F.round(F.col(p) + rate * clipped(F.coalesce(F.col(f"_m_{p}"), F.lit(0.0))), 6).alias(p) for p in axes
-    ]
-    for _ in range(epochs):
-        pulls = (
-            edges.join(positions.select(*here), "id")
-            .join(positions.select(F.col("id").alias("neighbor"), *there), "neighbor")
-            .withColumn("_d2", square)
-            .withColumn("_f", pull)
-            .select(*attracted)
-        )
-        pushes = (
-            positions.select(*here, "strength", partner.alias("partner"))
-            .join(positions.select(F.col("row").alias("partner"), *there), "partner")
-            .withColumn("_d2", square)
-            .withColumn("_f", push)
-            .select(*repelled)
-        )
-        moves = pulls.unionByName(pushes).groupBy("id").agg(*total)
-        positions = space.replace(
-            positions.join(moves, "id", "left").select(
-                "id", *moved, "row", "strength", (F.col("epoch") + 1).alias("epoch")
-            ),
-            "positions",
+    links = space.write(links.repartition(max(1, -(-n // POINTS_PER_BLOCK)), "row"), "links")
+    a, b = curve_parameters(min_dist, spread)
+    plan = Schedule(a, b, repulsion, epochs, seed, n)
+    if n * dims * 8 <= shared_bytes:
+        table = numbered.select("row", "vec").toArrow()
+        positions = np.empty((n, dims))
+        positions[table.column("row").to_numpy()] = table.column("vec").combine_chunks().flatten().to_numpy().reshape(n, dims)
+        positions = _epochs_by_broadcast(links, positions, plan)
+        placed = spark.createDataFrame(
+            pa.table(
+                {
+                    "row": pa.array(np.arange(n)),
+                    "vec": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(positions.ravel())),
+                }
+            )
         )
-    return positions.select("id", F.array(*axes).alias("vec"))
+    else:
+        placed = _epochs_by_join(links, numbered.select("row", "vec"), plan, space)
+    return space.write(placed.join(rows, "row").select("id", "vec"), "laid")
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -265,7 +379,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 def _graph(unit: DataFrame, knn: DataFrame | None, n_neighbors: int) -> DataFrame:
     if knn is None:
-        knn = Workspace(unit.sparkSession).write(neighbors(unit, n_neighbors - 1, "approximate"), "knn")
+        knn = Workspace(unit.sparkSession).write(neighbors(unit, n_neighbors - 1, "descent"), "knn")
     return fuzzy_graph(knn.where(F.col("rank") < n_neighbors - 1), n_neighbors)
 
 
@@ -274,7 +388,7 @@ def reduce_dims(
     dimensions: int = 16,
     n_neighbors: int = 10,
     min_dist: float = 0.03,
-    epochs: int = 30,
+    epochs: int = EPOCHS,
     method: str = "graph",
     knn: DataFrame | None = None,
 ) -> DataFrame:
@@ -286,8 +400,8 @@ def reduce_dims(
     if method == "pca":
         reduced = pca(unit, dimensions)
     else:
-        graph = _graph(unit, knn, n_neighbors)
-        reduced = layout(graph, pca(unit, dimensions), min_dist, epochs=epochs)
+        graph = Workspace(unit.sparkSession).write(_graph(unit, knn, n_neighbors), "graph")
+        reduced = layout(graph, spectral_start(graph, pca(unit, dimensions)), min_dist, epochs=epochs)
     return unit_vectors(reduced)
 
 
@@ -299,11 +413,20 @@ def map_coordinates(
     spread: float = 0.7,
     repulsion: float = 0.3,
     target_weight: float = 0.5,
-    epochs: int = 30,
+    epochs: int = EPOCHS,
     knn: DataFrame | None = None,
 ) -> DataFrame:
     """(id, x, y): a two-dimensional layout in which points of one cluster attract each other more."""
     unit = unit_vectors(vectors)
     graph = supervise_graph(_graph(unit, knn, n_neighbors), labels, target_weight)
-    placed = layout(graph, pca(unit, 2), min_dist, spread, repulsion, epochs)
+    graph = Workspace(unit.sparkSession).write(graph, "graph")
+    placed = layout(graph, spectral_start(graph, pca(unit, 2)), min_dist, spread, repulsion, epochs)
     return placed.select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+
+
+def kept_neighbors(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, kept): the share of a point's neighbours in ``before`` that are still neighbours in ``after``."""
+    same = after.select("id", "neighbor", F.lit(1).alias("_same"))
+    return before.join(same, ["id", "neighbor"], "left").groupBy("id").agg(
+        (F.count("_same") / F.count("*")).alias("kept")
+    )

@@ -28,10 +28,10 @@ class MapSettings:
     top_packages: int | None = 10_000
     batch_size: int = 128
     encoder_factory: Callable[[], Encoder] = field(default=hashing_encoder)
-    neighbors: str = "approximate"
+    neighbors: str = "descent"
     tree: str = "graph"
     reduced_dimensions: int = 16
-    epochs: int = 30
+    epochs: int = layout.EPOCHS
     min_cluster_size: int = 8
     min_samples: int = 2
     eps: float = 0.0085
