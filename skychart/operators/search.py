@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skychart.operators.spread import spread
+from skychart.sources.workspace import Workspace
 
 # Share of the query that may differ, and results shown.
 THRESHOLD = 0.2
 LIMIT = 25
-# Patterns that meet the texts in one pass: some hundred bytes each, so a set is small enough to broadcast.
-PATTERN_SET = 1000
+# Characters of the patterns that one automaton holds; its nodes take some hundred bytes each.
+SET_CHARACTERS = 1 << 20
+# Places that wait to be compared, and rows searched at a time.
+WAITING, ROWS_AT_ONCE = 1 << 15, 1024
+# No character.
+_NOTHING = 0xFFFFFFFF
+_ARROW = {"int": pa.int32(), "bigint": pa.int64()}
 
 
 def _patterns(queries: DataFrame, threshold: float) -> DataFrame:
@@ -41,48 +50,92 @@ def _patterns(queries: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _matches(text: Column, pattern: Column, errors: Column, pieces: Column) -> Column:
-    """Does some substring of the whole text lie within ``errors`` edits of the pattern?
-
-    A match holds one piece unchanged and shifted by at most ``errors``: only the surroundings of
-    the places where a piece occurs are compared, for every start and length a match can have.
-    """
-    n = F.length(pattern)
-
-    def near(chars: Column, at: Column) -> Column:
-        """Compare around a pattern that would begin at 0-based position ``at``."""
-        begin = F.greatest(at - errors, F.lit(0))
-        around = F.array_join(F.slice(chars, begin + 1, n + 2 * errors + (at - begin)), "")
-        compared = F.transform(
-            F.array(around),
-            lambda w: F.exists(
-                F.sequence(F.lit(1), 2 * errors + 1),
-                lambda start: F.exists(
-                    F.sequence(n - errors, n + errors),
-                    lambda size: F.levenshtein(F.substring(w, start, size), pattern) <= errors,
-                ),
-            ),
-        )
-        return compared[0]
-
-    def holds_piece(chars: Column) -> Column:
-        def around_piece(i: Column) -> Column:
-            piece = F.element_at(pieces, i + 1)
-            offset = F.floor(i * n / (errors + 1)).cast("int")
-            quoted = F.replace(piece, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-            parts = F.split(text, F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")))
-            start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"))
-
-            def step(state: Column, part: Column) -> Column:
-                hit = state["hit"] | (part.startswith(piece) & near(chars, state["at"] - offset))
-                return F.struct((state["at"] + F.length(part)).alias("at"), hit.alias("hit"))
-
-            return F.aggregate(parts, start, step, lambda state: state["hit"])
-
-        return F.exists(F.sequence(F.lit(0), errors), around_piece)
-
-    approximate = F.transform(F.array(F.split(text, "")), holds_piece)[0]
-    return F.when(errors == 0, text.contains(pattern)).otherwise(text.contains(pattern) | approximate)
+class PieceIndex:
+    """One automaton over the pieces of a bounded set of patterns, and the check of the places it finds."""
+
+    def __init__(self, patterns: list[tuple[int, str, int, list[str]]]):
+        self.query_ids = np.array([p[0] for p in patterns], np.int64)
+        self.codes = [_codes(p[1]) for p in patterns]
+        self.sizes = np.array([len(c) for c in self.codes], np.int64)
+        self.errors = np.array([p[2] for p in patterns], np.int64)
+        self.automaton = ahocorasick.Automaton()
+        wanted: dict[str, list[tuple[int, int]]] = {}
+        for number, (_, pattern, errors, pieces) in enumerate(patterns):
+            for i, piece in enumerate(pieces):
+                # Where the piece ends, counted from the pattern's first character.
+                end = i * len(pattern) // (errors + 1) + len(piece)
+                wanted.setdefault(piece, []).append((number, end))
+        for piece, places in wanted.items():
+            self.automaton.add_word(piece, places)
+        self.automaton.make_automaton()
+
+    def hits(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, query id) of the rows of which some text holds a pattern, each pair once."""
+        done: set[tuple[int, int]] = set()
+        waiting: list[tuple[int, int, np.ndarray, int]] = []
+        for row, some in enumerate(texts):
+            for text in some:
+                codes = _codes(text)
+                seen: set[tuple[int, int]] = set()
+                for last, places in self.automaton.iter(text):
+                    for number, end in places:
+                        if (row, number) in done:
+                            continue
+                        if not self.errors[number]:
+                            done.add((row, number))
+                            continue
+                        at = last + 1 - end
+                        if (number, at) not in seen:
+                            seen.add((number, at))
+                            waiting.append((row, number, codes, at))
+                    if len(waiting) >= WAITING:
+                        self._settle(waiting, done)
+                        waiting = []
+        self._settle(waiting, done)
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows, numbers = (np.array(x, np.int64) for x in zip(*sorted(done), strict=True))
+        return rows, self.query_ids[numbers]
+
+    def _settle(self, waiting: list[tuple[int, int, np.ndarray, int]], done: set[tuple[int, int]]) -> None:
+        """Compare the surroundings of all waiting places with their patterns, those of equal size at once."""
+        shapes: dict[tuple[int, int], list[int]] = {}
+        for i, (row, number, _, _) in enumerate(waiting):
+            if (row, number) not in done:
+                shapes.setdefault((int(self.sizes[number]), int(self.errors[number])), []).append(i)
+        for (size, errors), members in shapes.items():
+            width = size + 2 * errors
+            windows = np.full((len(members), width), _NOTHING, np.uint32)
+            patterns = np.empty((len(members), size), np.uint32)
+            for k, i in enumerate(members):
+                _, number, codes, at = waiting[i]
+                begin, stop = max(at - errors, 0), min(at + size + errors, len(codes))
+                windows[k, : stop - begin] = codes[begin:stop]
+                patterns[k] = self.codes[number]
+            for k in np.flatnonzero(_least_edits(windows, patterns) <= errors).tolist():
+                done.add(waiting[members[k]][:2])
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _least_edits(windows: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """Per row, the fewest edits between the pattern and any part of the window."""
+    size = patterns.shape[1]
+    column = np.repeat(np.arange(size + 1, dtype=np.int16)[:, None], len(windows), axis=1)
+    least = column[size].copy()
+    for j in range(windows.shape[1]):
+        same = patterns.T == windows[:, j]
+        # A match may begin anywhere, so no characters cost nothing.
+        diagonal = column[0].copy()
+        column[0] = 0
+        for i in range(1, size + 1):
+            above = column[i].copy()
+            column[i] = np.minimum(np.minimum(above, column[i - 1]) + 1, diagonal + ~same[i - 1])
+            diagonal = above
+        np.minimum(least, column[size], out=least)
+    return least
 
 
 def fuzzy_hits(
@@ -90,37 +143,45 @@ def fuzzy_hits(
     queries: DataFrame,
     keys: Sequence[str] = ("name", "summary"),
     threshold: float = THRESHOLD,
+    set_characters: int = SET_CHARACTERS,
 ) -> DataFrame:
     """(query_id, id) of every point with a key that matches the whole query, each pair once.
 
-    The texts are read once for every ``PATTERN_SET`` queries: a set of patterns is one row, broadcast to the points, and a
-    text is compared closely only with those of which a piece occurs in it.
+    A text that matches holds some piece of the pattern unchanged. The pieces of all patterns of a set form one automaton,
+    which reads each text once, whatever the number of patterns, and only the surroundings of the places it names are compared. A
+    set is handed to every task and so bounded: beyond ``set_characters`` characters of patterns there are more sets, dealt
+    by hash, and one reading of the texts for each.
     """
-    patterns = _patterns(queries, threshold)
-    n_sets = max(1, -(-patterns.count() // PATTERN_SET))
-    # Dealt by order, so no set is larger than the bound.
-    order = Window.orderBy("query_id", "pattern")
-    numbered = patterns.withColumn("_set", F.pmod(F.row_number().over(order), F.lit(n_sets)))
-    sets = numbered.groupBy("_set").agg(
-        F.collect_list(F.struct("query_id", "pattern", "errors", "pieces")).alias("_patterns")
-    )
+    patterns = Workspace(points.sparkSession).write(_patterns(queries, threshold).distinct(), "patterns")
+    n_sets = max(1, -(-(patterns.agg(F.sum(F.length("pattern"))).first()[0] or 0) // set_characters))
+    number = F.pmod(F.xxhash64("query_id", "pattern"), F.lit(n_sets))
     texts = [F.lower(F.coalesce(F.col(k), F.lit(""))).alias(f"_t_{k}") for k in keys]
     lowered = spread(points).select("id", *texts)
-    columns = [F.col(f"_t_{k}") for k in keys]
-
-    def matches(text: Column, p: Column) -> Column:
-        some_piece = F.exists(p["pieces"], lambda piece: text.contains(piece))
-        return some_piece & _matches(text, p["pattern"], p["errors"], p["pieces"])
-
-    def matched(p: Column) -> Column:
-        found = matches(columns[0], p)
-        for text in columns[1:]:
-            found = found | matches(text, p)
-        return found
-
-    met = lowered.join(F.broadcast(sets), F.lit(True))
-    hits = F.transform(F.filter("_patterns", matched), lambda p: p["query_id"])
-    return met.select(F.explode(hits).alias("query_id"), "id").distinct()
+    hits = [_hits_of_set(lowered, patterns.where(number == i)) for i in range(n_sets)]
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.unionByName(more)
+    return found.distinct()
+
+
+def _hits_of_set(lowered: DataFrame, patterns: DataFrame) -> DataFrame:
+    rows = patterns.select("query_id", "pattern", "errors", "pieces").orderBy("query_id", "pattern").collect()
+    shared = lowered.sparkSession.sparkContext.broadcast([(r[0], r[1], r[2], list(r[3])) for r in rows])
+    kind = patterns.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = PieceIndex(shared.value) if shared.value else None
+        for batch in batches:
+            if index is None:
+                continue
+            columns = [batch.column(k) for k in range(1, batch.num_columns)]
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                texts = list(zip(*[c.slice(low, ROWS_AT_ONCE).to_pylist() for c in columns], strict=True))
+                at, query_ids = index.hits(texts)
+                ids = batch.column(0).take(pa.array(at + low))
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids).cast(_ARROW[kind]), ids], names=["query_id", "id"])
+
+    return lowered.mapInArrow(run, f"query_id {kind}, id {lowered.schema['id'].dataType.simpleString()}")
 
 
 def fuzzy_search(

@@ -29,14 +29,14 @@ def matches(text, query):
     )
 
 
-def hits(spark, rows, queries):
+def hits(spark, rows, queries, **options):
     points = spark.createDataFrame(rows, POINT)
-    return {tuple(r) for r in search.fuzzy_hits(points, spark.createDataFrame(queries, "query_id int, query string")).collect()}
+    return {tuple(r) for r in search.fuzzy_hits(points, spark.createDataFrame(queries, "query_id int, query string"), **options).collect()}
 
 
-@pytest.mark.parametrize(("seed", "at_once"), [(1, 1000), (2, 3)])
-def test_equals_brute_force(spark, monkeypatch, seed, at_once):
-    monkeypatch.setattr(search, "PATTERN_SET", at_once)
+@pytest.mark.parametrize(("seed", "characters", "waiting"), [(1, 1 << 20, 1 << 15), (2, 60, 7)])
+def test_equals_brute_force(spark, monkeypatch, seed, characters, waiting):
+    monkeypatch.setattr(search, "WAITING", waiting)
     random.seed(seed)
 
     def word(n):
@@ -45,7 +45,18 @@ def test_equals_brute_force(spark, monkeypatch, seed, at_once):
     rows = [(i, word(random.randrange(12)), None if i % 9 == 0 else word(random.randrange(90)), i) for i in range(40)]
     queries = [(i, word(n)) for i, n in enumerate([1, 2, 4, 5, 7, 9, 10, 12, 15, 16, 33, 40])]
     want = {(q, r[0]) for q, text in queries for r in rows if matches(r[1], text) or matches(r[2], text)}
+    assert hits(spark, rows, queries, set_characters=characters) == want
+
+
+def test_many_queries_against_brute_force(spark):
+    random.seed(3)
+    words = ["".join(random.choice("abcdé") for _ in range(random.randrange(3, 9))) for _ in range(40)]
+    rows = [(i, random.choice(words), " ".join(random.choices(words, k=6)), i) for i in range(25)]
+    queries = [(i, " ".join(random.choices(words, k=random.randrange(1, 3)))) for i in range(150)]
+    queries += [(3, queries[3][1]), (3, "other")]
+    want = {(q, r[0]) for q, text in queries for r in rows if matches(r[1], text) or matches(r[2], text)}
     assert hits(spark, rows, queries) == want
+    assert hits(spark, rows, queries[:0]) == set() and hits(spark, rows[:0] + [(1, None, None, 1)], queries) == set()
 
 
 def test_regular_expression_characters_are_plain(spark):
