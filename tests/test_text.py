@@ -63,6 +63,23 @@ def test_scores(spark):
         ("&nosuch; &hearts;&amp &#0;&#x110000;&#150;&#00065;&#xD800;&NotEqualTilde; &", "html", "&nosuch; ♥& \ufffd\ufffd–A\ufffd≂̸ &"),
         ("a<!-- b <p>c", "html", "a"),
         ("<p>a</p><script>if (1 < 2) b", "html", "a"),
+        ("**bold *nested* text**", "markdown", "bold\nnested\ntext"),
+        ("*a **b** c* ***d*** **e *f*** *g **h***", "markdown", "a\nb\nc\nd\ne\nf\ng\nh"),
+        ("__a _b_ c__ and __init_file__ but not a_b_c or 2 * 3 * 4", "markdown", "a\nb\nc\nand\ninit_file\nbut not a_b_c or 2 * 3 * 4"),
+        ("~~a *b* c~~ and *two\nlines*", "markdown", "a\nb\nc\nand\ntwo\nlines"),
+        ("a **b\n\nc** d", "markdown", "a **b\nc** d"),
+        ("[wiki](http://x.org/a_(b)) and [a [b] c](u(v(w))) end", "markdown", "wiki\nand\na [b] c\nend"),
+        ("``a `b` c`` and `*d* &amp; \\*` and ` e", "markdown", "a `b` c\nand\n*d* &amp; \\*\nand ` e"),
+        ("**see `x*y` [z](u)** <!-- `gone` --> `w`", "markdown", "see\nx*y\nz\nw"),
+        ("[a][One] [b][] [c] [d][none] [e]\n\n[one]: u\n[B]: v\n[c]: <w>\n", "markdown", "a\nb\nc\n[d][none] [e]"),
+        ('x <a title="p > q" href=\'r\'>link</a> y', "markdown", "x\nlink\ny"),
+        ('<p>x <a title="p > q" href=\'r > s\'>link</a> y<br/>z<a href="b>c', "html", "x\nlink\ny\nz\nc"),
+        ("<p don't>a</p> = <b c=\"d\">e</b>", "html", "a\n=\ne"),
+        ("a\n\n.. a comment\n   more comment\n\n   still\n\nb", "rst", "a\nb"),
+        ("..\n   hidden\n\nshown\n\n..\n\n   quoted", "rst", "shown\nquoted"),
+        (".. |ver| replace:: 1.0\n.. |pic| image:: a.png\n\nVersion |Ver| and |pic| end |x", "rst", "Version 1.0 and\nend |x"),
+        ("+---+---+\n| a | b |\n+---+---+\n\n| line", "rst", "a\nb\nline"),
+        ("**a * b** and *c*", "rst", "a * b\nand\nc"),
         ("", "markdown", ""),
         ("   ", "rst", ""),
         (None, "plain", ""),
@@ -102,7 +119,8 @@ LONG = 1 << 20
 LINES = {
     "stars": "* ", "quotes": "> ", "bars": "|--", "rules": "_ ", "comments": "<!-- ", "scripts": "<script ", "links": "<a ",
     "images": "![", "brackets": "[", "open links": "[a](", "spaces": " ", "hashes": "# ", "ticks": "` ", "roles": ":a", "cells": "+-|",
-    "references": "&#1", "names": "&a", "under": "**a_ ",
+    "nested": "*a ", "closing": "a* ", "pairs": "*a* ", "fences of one": "`a", "two ticks": "``a` ", "parens": "[a](b(c(", "values": '<a b="',
+    "lookups": "[a][b] ", "bars": "|a| ", "dots": ".. a ", "references": "&#1", "names": "&a", "under": "**a_ ",
 }
 
 
