@@ -1,12 +1,15 @@
 """How document filters interact: what each removes in every order, from a sparse document-term matrix.
 
 The matrix is built in three steps. Tasks cut their documents into shards of bounded size and code the words of each shard with
-the shard's own vocabulary. The vocabularies of all shards together give the dictionary: every distinct word once, numbered
-in the order of its bytes. Then each shard's codes are replaced by the dictionary's, which gives CSR shards: for each document
-the ascending numbers of its words (``indices``) and their counts (``data``), between two entries of ``indptr``.
-
-So only vocabularies meet in the dictionary join: a word comes once per shard, however often it occurs, and the most
-frequent one has as many rows as there are shards. The row sums of the matrix are word counts, its nonzero entries per
+the shard's own vocabulary. The vocabularies of all shards together give the dictionary: every distinct word has one number, its
+rank among the words of its hash bucket, times the number of buckets, plus the bucket. Then each shard's codes are
+replaced by the dictionary's, which gives CSR shards: for each document the ascending numbers of its words and
+their counts (``data``), between two entries of ``indptr``. The numbers are kept as ``gaps``, the first of a row as it is and
+then differences, which take a quarter of the space; ``column_indices`` adds them up.
+
+So only vocabularies are exchanged, and only once: a word comes once per shard, however often it occurs, and the most
+frequent one has as many rows as there are shards. Ranks are counted while the sorted words stream by, so no bucket
+is held as a whole. The row sums of the matrix are word counts, its nonzero entries per
 row distinct words.
 
 Filters are conditions per document, kept as bits. The order of filters does not change what a document fails, so
@@ -25,17 +28,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skychart.llm.words import slices, split_words, text_bytes
-from skychart.operators.ranking import global_dense_id
 from skychart.sources.workspace import Workspace
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_UPPER_PERCENT = 50, 65, 5
 SYMBOLS = "#$%&*|"
 # Bytes of text in a shard, or one longer text.
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 24
+# Bytes split into words at a time.
+SPLIT_BYTES = 1 << 22
+# Hash buckets of the dictionary.
+BUCKETS = 1 << 16
 
 _ROW = "struct<doc_id: bigint, part: string, text_key: binary, flags: int>"
-_SHARD = f"shard bigint, rows array<{_ROW}>, indptr array<int>, indices array<int>, data array<int>"
+_SHARD = f"shard bigint, rows array<{_ROW}>, indptr array<int>, gaps array<int>, data array<int>"
 _ROW_NAMES = ("doc_id", "part", "text_key", "flags")
 
 
@@ -58,11 +64,43 @@ def _bit(name: str) -> int:
     return 1 << FILTERS.index(name)
 
 
-def _compressed(owner: np.ndarray, codes: np.ndarray, n_rows: int, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """indptr, indices and counts of (row, code) entries."""
-    cells, data = np.unique(owner * np.int64(max(n_codes, 1)) + codes, return_counts=True)
-    rows, indices = np.divmod(cells, max(n_codes, 1))
-    return np.searchsorted(rows, np.arange(n_rows + 1)), indices, data
+def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Codes of all words of a shard, words per row, and the vocabulary they point into."""
+    _, offsets = text_bytes(column)
+    parts = [split_words(column.slice(low, high - low)) for low, high in slices(offsets, SPLIT_BYTES)]
+    words = pa.chunked_array([w for w, _ in parts]).unify_dictionaries()
+    codes = np.concatenate([chunk.indices.to_numpy() for chunk in words.chunks])
+    return codes, np.concatenate([n for _, n in parts]), words.chunk(0).dictionary
+
+
+def _compressed(codes: np.ndarray, counts: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """indptr, indices and data of rows of ``counts`` codes each."""
+    cells = np.repeat(np.arange(len(counts), dtype=np.int64) * max(n_codes, 1), counts)
+    cells += codes
+    cells.sort()
+    new = np.ones(len(cells), dtype=bool)
+    new[1:] = cells[1:] != cells[:-1]
+    first = np.flatnonzero(new)
+    cells = cells[first]
+    rows = cells // max(n_codes, 1)
+    data = np.diff(np.append(first, len(codes)))
+    return np.searchsorted(rows, np.arange(len(counts) + 1)), cells - rows * max(n_codes, 1), data
+
+
+def _gaps(indptr: np.ndarray, indices: np.ndarray) -> np.ndarray:
+    """Differences of ascending indices; the first of every row as it is."""
+    gaps = np.diff(indices, prepend=0)
+    first = indptr[:-1][np.diff(indptr) > 0]
+    gaps[first] = indices[first]
+    return gaps
+
+
+def column_indices(indptr: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """The ascending word numbers of all rows of a shard."""
+    total = np.cumsum(gaps, dtype=np.int64)
+    sizes = np.diff(indptr)
+    first = indptr[:-1][sizes > 0]
+    return total - np.repeat(total[first] - gaps[first], sizes[sizes > 0])
 
 
 def local_shards(docs: DataFrame) -> DataFrame:
@@ -74,9 +112,8 @@ def local_shards(docs: DataFrame) -> DataFrame:
             _, offsets = text_bytes(batch.column(2))
             for low, high in slices(offsets, SHARD_BYTES):
                 part = batch.slice(low, high - low)
-                words, counts = split_words(part.column(2))
-                owner = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-                indptr, indices, data = _compressed(owner, words.indices.to_numpy(), len(counts), len(words.dictionary))
+                codes, counts, words = _coded(part.column(2))
+                indptr, indices, data = _compressed(codes, counts, len(words))
                 rows = pa.StructArray.from_arrays(
                     [part.column(0), part.column(1), part.column(3), pa.array(_flags(part.column(2)).astype(np.int32))],
                     names=list(_ROW_NAMES),
@@ -85,53 +122,67 @@ def local_shards(docs: DataFrame) -> DataFrame:
                     [
                         pa.array([shard], pa.int64()),
                         pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-                        *[pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (indptr, indices, data)],
-                        pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary),
+                        *[
+                            pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
+                            for x in (indptr, _gaps(indptr, indices), data)
+                        ],
+                        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                     ],
-                    names=["shard", "rows", "indptr", "indices", "data", "words"],
+                    names=["shard", "rows", "indptr", "gaps", "data", "words"],
                 )
                 shard += 1
 
     return docs.mapInArrow(run, f"{_SHARD}, words array<string>")
 
 
+def _term_id(bucket: str, word: str) -> Column:
+    rank = F.dense_rank().over(Window.partitionBy(bucket).orderBy(word))
+    return ((rank - 1).cast("bigint") * BUCKETS + F.col(bucket)).alias("term_id")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("_bucket")
+
+
 def dictionary(shards: DataFrame) -> DataFrame:
-    """(word, term_id, n_shards): every distinct word, numbered from 0 in the order of its bytes."""
+    """(word, term_id, n_shards): the number of every distinct word, as in ``csr_shards``."""
     words = shards.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n_shards"))
-    return global_dense_id(words, [F.col("word").asc()], out="term_id")
+    return words.select("word", "n_shards", _bucket()).select("word", _term_id("_bucket", "word"), "n_shards")
 
 
-def csr_shards(shards: DataFrame, terms: DataFrame) -> DataFrame:
-    """(shard, rows, indptr, indices, data): the shards coded by the dictionary, each row's indices ascending."""
+def csr_shards(shards: DataFrame) -> DataFrame:
+    """(shard, rows, indptr, gaps, data): the shards coded by the dictionary."""
     own = shards.select("shard", F.posexplode("words").alias("_place", "word"))
     codes = (
-        own.join(terms.select("word", "term_id"), "word")
+        own.select("shard", "_place", "word", _bucket())
+        .select("shard", "_place", _term_id("_bucket", "word"))
         .groupBy("shard")
-        .agg(F.array_sort(F.collect_list(F.struct("_place", "term_id"))).alias("_codes"))
-        .select("shard", F.transform("_codes", lambda c: c["term_id"]).alias("_codes"))
+        .agg(F.collect_list(F.struct("_place", "term_id")).alias("_codes"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                indptr, local, data = (one.column(k).flatten().to_numpy() for k in (2, 3, 4))
-                codes = one.column(5).flatten().to_numpy(zero_copy_only=False)
-                indices = codes[local] if len(local) else np.zeros(0, np.int64)
+                indptr, gaps, data = (one.column(k).flatten().to_numpy() for k in (2, 3, 4))
+                place, term = (x.to_numpy() for x in one.column(5).flatten().flatten())
+                codes = np.zeros(len(place), np.int64)
+                codes[place] = term
+                indices = codes[column_indices(indptr, gaps)]
                 owner = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
                 order = np.lexsort((indices, owner))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *one.columns[:3],
-                        pa.array([indices[order]], pa.list_(pa.int64())),
+                        pa.array([_gaps(indptr, indices[order])], pa.list_(pa.int64())),
                         pa.array([data[order]], pa.list_(pa.int32())),
                     ],
-                    names=["shard", "rows", "indptr", "indices", "data"],
+                    names=["shard", "rows", "indptr", "gaps", "data"],
                 )
 
     # A shard whose texts have no words has no codes.
     coded = shards.drop("words").join(codes, "shard", "left")
-    return coded.mapInArrow(run, _SHARD.replace("indices array<int>", "indices array<bigint>"))
+    return coded.mapInArrow(run, _SHARD.replace("gaps array<int>", "gaps array<bigint>"))
 
 
 def row_flags(matrix: DataFrame) -> DataFrame:
@@ -174,8 +225,8 @@ def document_flags(docs: DataFrame) -> DataFrame:
         text.alias("text"),
         F.unhex(F.sha2(text, 256)).alias("text_key"),
     )
-    local = space.write(local_shards(rows), "local")
-    return row_flags(space.write(csr_shards(local, space.write(dictionary(local), "terms")), "matrix"))
+    local = space.write(local_shards(rows), "local", codec="zstd")
+    return row_flags(space.write(csr_shards(local), "matrix", codec="zstd"))
 
 
 def counted_flags(flags: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import re
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
+
 from skychart.llm import filteraudit
 
 SCHEMA = "doc_id bigint, text string, source string, part int, words string, shard string, flags string"
@@ -66,6 +68,7 @@ def fixture(spark):
 
 def test_audit_equals_a_plain_replay(spark, monkeypatch):
     monkeypatch.setattr(filteraudit, "SHARD_BYTES", 500)
+    monkeypatch.setattr(filteraudit, "SPLIT_BYTES", 200)
     rows, labels, docs, label_table = fixture(spark)
     got = filteraudit.audit(docs, label_table).collect()
     assert len(got) == 3 * 120 * 5
@@ -73,22 +76,26 @@ def test_audit_equals_a_plain_replay(spark, monkeypatch):
     assert found == plain_audit(rows, labels)
 
 
-def test_matrix_holds_every_word_of_every_document(spark):
+def test_matrix_holds_every_word_of_every_document(spark, monkeypatch):
     rows, _, docs, _ = fixture(spark)
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(filteraudit, "BUCKETS", 7)
+    monkeypatch.setattr(filteraudit, "SHARD_BYTES", 500)
+    monkeypatch.setattr(filteraudit, "SPLIT_BYTES", 200)
     source = docs.select("doc_id", F.lit("p").alias("part"), "text", F.lit(b"k").alias("text_key"))
     local = filteraudit.local_shards(source)
     terms = filteraudit.dictionary(local)
-    words = [r["word"] for r in terms.orderBy("term_id").collect()]
-    assert words == sorted({w for r in rows for w in plain_words(r[1] or "")}, key=str.encode)
-    assert [r["term_id"] for r in terms.orderBy("term_id").collect()] == list(range(len(words)))
+    words = {r["term_id"]: r["word"] for r in terms.collect()}
+    assert len(words) == terms.count()
+    assert sorted(words.values()) == sorted({w for r in rows for w in plain_words(r[1] or "")})
     found = []
-    for shard in filteraudit.csr_shards(local, terms).collect():
+    for shard in filteraudit.csr_shards(local).collect():
+        numbers = filteraudit.column_indices(np.array(shard["indptr"]), np.array(shard["gaps"], np.int64)).tolist()
         for k, row in enumerate(shard["rows"]):
             cells = slice(shard["indptr"][k], shard["indptr"][k + 1])
-            assert shard["indices"][cells] == sorted(set(shard["indices"][cells]))
-            counts = {words[i]: n for i, n in zip(shard["indices"][cells], shard["data"][cells], strict=True)}
+            assert numbers[cells] == sorted(set(numbers[cells]))
+            counts = {words[i]: n for i, n in zip(numbers[cells], shard["data"][cells], strict=True)}
             found.append((str(row["doc_id"]), sorted(counts.items())))
     assert sorted(found) == sorted((str(r[0]), sorted(Counter(plain_words(r[1] or "")).items())) for r in rows)
 
