@@ -40,6 +40,13 @@ SPLIT_BYTES = 1 << 22
 # Hash buckets of the dictionary.
 BUCKETS = 1 << 16
 
+# Kinds of bytes: a code point has one byte that does not continue another.
+_CAPITAL, _SYMBOL, _CONTINUES = 1, 2, 3
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[ord("A") : ord("Z") + 1] = _CAPITAL
+_KINDS[list(SYMBOLS.encode())] = _SYMBOL
+_KINDS[0x80:0xC0] = _CONTINUES
+
 _ROW = "struct<doc_id: bigint, part: string, text_key: binary, flags: int>"
 _SHARD = f"shard bigint, rows array<{_ROW}>, indptr array<int>, gaps array<int>, data array<int>"
 _ROW_NAMES = ("doc_id", "part", "text_key", "flags")
@@ -48,16 +55,13 @@ _ROW_NAMES = ("doc_id", "part", "text_key", "flags")
 def _flags(column: pa.Array) -> np.ndarray:
     """Bits of C (share of capitals) and D (symbols) per row."""
     values, offsets = text_bytes(column)
-    values, offsets = values[offsets[0] : offsets[-1]], offsets - offsets[0]
+    kinds, offsets = _KINDS[values[offsets[0] : offsets[-1]]], offsets - offsets[0]
 
-    def per_row(marks: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(marks)])[offsets])
+    def per_row(kind: int) -> np.ndarray:
+        return np.diff(np.searchsorted(np.flatnonzero(kinds == kind), offsets))
 
-    capitals = per_row((values >= ord("A")) & (values <= ord("Z")))
-    # Code points: all bytes but those that continue one.
-    points = per_row((values & 0xC0) != 0x80)
-    symbols = per_row(np.isin(values, np.frombuffer(SYMBOLS.encode(), np.uint8)))
-    return (100 * capitals > MAX_UPPER_PERCENT * points) * _bit("C") + (symbols > 0) * _bit("D")
+    points = np.diff(offsets) - per_row(_CONTINUES)
+    return (100 * per_row(_CAPITAL) > MAX_UPPER_PERCENT * points) * _bit("C") + (per_row(_SYMBOL) > 0) * _bit("D")
 
 
 def _bit(name: str) -> int:

@@ -166,7 +166,15 @@ def split_words(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     parts = pc.ascii_split_whitespace(column.fill_null(""))
     ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
     flat = parts.flatten()
+    coded = flat.dictionary_encode()
     # White space at the ends of a text leaves empty parts.
-    solid = pc.not_equal(flat, "")
-    before = np.concatenate([[0], np.cumsum(solid.to_numpy(zero_copy_only=False))])
-    return flat.filter(solid).dictionary_encode(), np.diff(before[ends])
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty < 0:
+        return coded, np.diff(ends)
+    codes = coded.indices.to_numpy()
+    solid = codes != empty
+    before = np.concatenate([[0], np.cumsum(solid)])
+    codes = codes[solid]
+    codes -= codes > empty
+    words = pa.concat_arrays([coded.dictionary.slice(0, empty), coded.dictionary.slice(empty + 1)])
+    return pa.DictionaryArray.from_arrays(pa.array(codes), words), np.diff(before[ends])
