@@ -15,7 +15,7 @@ HEADLINE = (
     "extract_text_rst cluster_metadata median_center labeled_plot format_downloads viewport_points "
     "nearest_within label_top_k fuzzy_search constellation_edges cluster_prompts cluster_labels "
     "packages_output dense_ids knn_exact fuzzy_graph embed_text spanning_forest density_clusters density_leaves "
-    "knn_approximate fuzzy_hits_documents connected_components reduce_dims map_coordinates whole_map"
+    "knn_approximate knn_descent fuzzy_hits_documents connected_components reduce_dims map_coordinates whole_map"
 ).split()
 
 

@@ -13,6 +13,7 @@ from skychart.operators import (
     clean,
     constellations,
     density,
+    descent,
     embed,
     graph,
     knn,
@@ -379,6 +380,49 @@ def extract_text_rst(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", text.extract_rst(source).alias("extracted"))
 
 
+def _words_in_markup(kinds: list[Callable[[Column], Column]]) -> Column:
+    """All lower-case words of a text, each in its kind of markup by turns."""
+
+    def one(word: Column, i: Column) -> Column:
+        marked = kinds[0](word)
+        for k, kind in enumerate(kinds[1:], 1):
+            marked = F.when(i % len(kinds) == k, kind(word)).otherwise(marked)
+        return marked
+
+    return F.array_join(F.transform(F.regexp_extract_all("text", F.lit("[a-z]+"), 0), one), " ")
+
+
+def _around(pattern: str) -> Callable[[Column], Column]:
+    """The pattern with the word in place of each W."""
+    parts = pattern.split("W")
+    return lambda word: F.concat(*[x for part in parts[:-1] for x in (F.lit(part), word)], F.lit(parts[-1]))
+
+
+# Markup around every word, and what is left of it: a bar stands between two text nodes.
+NESTED_MARKDOWN = {
+    "**W *W* W**": "|W|W|W|", "[W](http://x.org/a_(W))": "|W|", "``W ` W``": "|W ` W|", "W": "W", "__W ~~W~~__": "|W|W|", "[W][Ref]": "|W|",
+    '<a title="W > W">W</a>': "|W|", r"\*W\*": "*W*", "[W][none]": "[W][none]",
+}
+NESTED_RST = {
+    "**W * W**": "|W * W|", "|Ver|": "1.0 beta", ":a:`W <W>`": "|W|", "W": "W", "``W *W``": "|W *W|", "`W`_": "|W|", "*W*": "|W|",
+}
+
+
+@query
+def extract_text_nested_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with nested markup around each of their words, references among it."""
+    source = F.concat(_words_in_markup([_around(p) for p in NESTED_MARKDOWN]), F.lit("\n\n[ref]: http://x.org\n"))
+    return spread(table(spark, d, "documents")).select("doc_id", text.extract_markdown(source).alias("extracted"))
+
+
+@query
+def extract_text_nested_rst(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a comment, a substitution and markup around each of their words."""
+    head = F.lit(".. hidden\n   more hidden\n\n.. |ver| replace:: 1.0 beta\n\n")
+    source = F.concat(head, _words_in_markup([_around(p) for p in NESTED_RST]))
+    return spread(table(spark, d, "documents")).select("doc_id", text.extract_rst(source).alias("extracted"))
+
+
 @query
 def extract_text_plain(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents")).select(
@@ -733,6 +777,15 @@ def knn_approximate(spark: SparkSession, d: str) -> DataFrame:
     return counted.agg(F.count("*").alias("found"), (F.count("true") >= 6).alias("near"))
 
 
+@query
+def knn_descent(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours by descent, with their distances, and the share of each vector's true neighbours among them."""
+    near = Workspace(spark).write(descent.knn_descent(vectors_table(spark, d), 10), "near")
+    true = neighbor_table(spark, d, 10).select("id", "neighbor", F.lit(1).alias("true"))
+    recall = near.join(true, ["id", "neighbor"], "left").groupBy("id").agg((F.count("true") / 10).alias("recall"))
+    return near.join(recall, "id").select("id", "rank", "neighbor", r6("distance").alias("distance"), "recall")
+
+
 @query
 def core_distance(spark: SparkSession, d: str) -> DataFrame:
     return density.core_distance(neighbor_table(spark, d, 2)).select("id", r6("core").alias("core"))
@@ -793,6 +846,24 @@ def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
     return graph.minimum_spanning_forest(edges).select("src", "dst", "weight")
 
 
+@query
+def spanning_forest_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Minimum spanning forest of parts and, below zero, of their suppliers, by the least price paid."""
+    edges = (
+        table(spark, d, "lineitem")
+        .groupBy((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"))
+        .agg(F.min("l_extendedprice").alias("weight"))
+    )
+    return graph.minimum_spanning_forest(edges).select("src", "dst", "weight")
+
+
+@query
+def connected_components_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and, below zero, the parts they hold: no star, but ways of many steps."""
+    items = table(spark, d, "lineitem")
+    return graph.connected_components(items.select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")))
+
+
 @query
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     """Parts linked by a brand and size they share, the shared kind numbered below zero."""
@@ -811,6 +882,21 @@ def density_leaves(spark: SparkSession, d: str) -> DataFrame:
     return density.density_clusters(halved(spark, d).select("id", "vec"), method="exact")
 
 
+@query
+def density_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The same groups from the neighbour graph's tree, whose parts are joined by their least edges."""
+    return density.density_clusters(planted(spark, d).select("id", "vec"), method="graph")
+
+
+@query
+def density_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The halves again, all merges of the tree made in parallel rounds but the last hundred."""
+    rows = halved(spark, d).select("id", "vec")
+    tree = density.reachability_tree(rows, 2, "graph")
+    found = density.clusters_of_tree(tree, local_edges=100)
+    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+
+
 def same_label(placed: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """(id, together): whether enough of the five nearest others have the vector's own label."""
     near = knn.knn_exact(placed, 5).select("id", "neighbor")
@@ -833,6 +919,15 @@ def reduce_dims(spark: SparkSession, d: str) -> DataFrame:
     return reduced.select("id", F.size("vec").alias("dimensions"), unit.alias("unit")).join(together, "id")
 
 
+@query
+def reduce_dims_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors without planted groups: the share of each one's ten nearest that are still among its ten nearest."""
+    rows = Workspace(spark).write(layout.unit_vectors(vectors_table(spark, d)), "unit")
+    reduced = Workspace(spark).write(layout.reduce_dims(rows), "reduced")
+    near = [knn.knn_exact(x, 10).select("id", "neighbor") for x in (rows, reduced)]
+    return layout.kept_neighbors(*near)
+
+
 @query
 def map_coordinates(spark: SparkSession, d: str) -> DataFrame:
     """Per label: whether nearly all of its vectors lie on the map among their own label."""
@@ -847,19 +942,10 @@ def map_coordinates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def embed_text(spark: SparkSession, d: str) -> DataFrame:
-    """Length of each vector, and whether upper case and other punctuation leave it as it is."""
+    """Every value of every vector, weighted by document frequencies over all texts."""
     rows = table(spark, d, "documents").select("doc_id", "text")
-    own = embed.embed_text(rows, "text").select("doc_id", "embeddings")
-    other = rows.withColumn("text", F.concat(F.lit("... "), F.upper(F.regexp_replace("text", "ß", "ss"))))
-    plain = rows.withColumn("text", F.lower(F.regexp_replace("text", "ß", "ss")))
-    pair = [embed.embed_text(x, "text").select("doc_id", F.col("embeddings").alias(n)) for x, n in ((other, "a"), (plain, "b"))]
-    gap = vectors.distance(F.col("a"), F.col("b"))
-    return own.join(pair[0], "doc_id").join(pair[1], "doc_id").select(
-        "doc_id",
-        F.size("embeddings").alias("dimensions"),
-        F.round(vectors.norm(F.col("embeddings")), 4).alias("length"),
-        (gap < 1e-4).alias("alike"),
-    )
+    own = embed.embed_text(rows, "text").select("doc_id", F.posexplode("embeddings").alias("dim", "v"))
+    return own.select("doc_id", "dim", F.round(F.col("v").cast("double"), 4).alias("v"))
 
 
 @query

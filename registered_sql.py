@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from registered import NESTED_MARKDOWN, NESTED_RST
 from skychart.functions import markup
 from skychart.operators.labels import INSTRUCTION, MAX_PROMPT, MAX_SUMMARY
 
@@ -190,6 +191,21 @@ add(
     f"""SELECT doc_id, {known('Guide ', 'doc_id', "E'\\nMind the gap.\\nauthor\\nsomeone\\ndate\\ntoday\\nSee\\nthe docs\\nand\\ncall\\n,\\ncode\\n.\\none\\ntwo\\nCode:'")}
     AS extracted FROM documents""",
 )
+
+
+def unmarked(kinds: dict[str, str]) -> str:
+    """The words of a text in what is left of each kind of markup, cut at the bars, stripped, joined by line feeds."""
+    cases = " ".join(
+        f"WHEN {k} THEN " + " || ".join(x for part in left.split("W") for x in (f"'{part}'", "w"))[: -len(" || w")]
+        for k, left in enumerate(kinds.values())
+    )
+    each = f"list_transform(regexp_extract_all(text, '[a-z]+'), lambda w, i: CASE (i - 1) % {len(kinds)} {cases} END)"
+    pieces = f"list_transform(string_split(array_to_string({each}, ' '), '|'), lambda p: trim(p))"
+    return f"SELECT doc_id, array_to_string(list_filter({pieces}, lambda p: p <> ''), chr(10)) AS extracted FROM documents"
+
+
+add("extract_text_nested_markdown", unmarked(NESTED_MARKDOWN))
+add("extract_text_nested_rst", unmarked(NESTED_RST))
 LINES = r"regexp_replace(text, '\r\n|\r', chr(10), 'g')"
 add("extract_text_plain", f"SELECT doc_id, {lines(LINES)} AS extracted FROM documents")
 
@@ -555,22 +571,52 @@ add(
     scaled="SELECT id, neighbor, weight / max(weight) OVER (PARTITION BY id) AS weight FROM both_ways",
 )
 # The planted groups are far apart: every label is one cluster, numbered by its lowest member.
-add(
-    "density_clusters",
-    """SELECT vec_id AS id, dense_rank() OVER (ORDER BY lowest) - 1 AS cluster_id
-    FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS lowest FROM embeddings)""",
-)
+GROUPS = """SELECT vec_id AS id, dense_rank() OVER (ORDER BY lowest) - 1 AS cluster_id
+    FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS lowest FROM embeddings)"""
+add("density_clusters", GROUPS)
+add("density_graph", GROUPS)
 # What lies alone is noise; each half of a label is a cluster of its own.
-add(
-    "density_leaves",
-    """SELECT id, -1 AS cluster_id FROM halves WHERE alone UNION ALL
+HALVES = """SELECT id, -1 AS cluster_id FROM halves WHERE alone UNION ALL
     SELECT id, dense_rank() OVER (ORDER BY lowest) - 1 FROM (
-      SELECT id, min(id) OVER (PARTITION BY label, id % 2) AS lowest FROM halves WHERE NOT alone)""",
-    halves="SELECT vec_id AS id, label, vec_id % 50 = 7 AS alone FROM embeddings",
+      SELECT id, min(id) OVER (PARTITION BY label, id % 2) AS lowest FROM halves WHERE NOT alone)"""
+for name in ("density_leaves", "density_rounds"):
+    add(name, HALVES, halves="SELECT vec_id AS id, label, vec_id % 50 = 7 AS alone FROM embeddings")
+HOPS = 12
+add(
+    "connected_components_orders",
+    "WITH e AS (SELECT DISTINCT l_orderkey AS a, -1 - l_partkey AS b FROM lineitem), "
+    "sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r0 AS (SELECT DISTINCT a AS id, a AS c FROM sides), "
+    + ", ".join(
+        f"r{i} AS MATERIALIZED (SELECT id, min(c) AS c FROM (SELECT sides.a AS id, r.c FROM sides JOIN r{i - 1} AS r ON r.id = sides.b "
+        f"UNION ALL SELECT id, c FROM r{i - 1}) GROUP BY id)"
+        for i in range(1, HOPS + 1)
+    )
+    + f" SELECT id, c AS component FROM r{HOPS}",
 )
 add("reduce_dims", "SELECT vec_id AS id, 16 AS dimensions, TRUE AS unit, TRUE AS together FROM embeddings")
 add("map_coordinates", "SELECT label, count(*) AS n, TRUE AS together FROM embeddings GROUP BY label")
-add("embed_text", "SELECT doc_id, 128 AS dimensions, 1::DOUBLE AS length, TRUE AS alike FROM documents")
+add(
+    "embed_text",
+    r"""WITH counted AS (
+      SELECT doc_id, word, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents) GROUP BY ALL
+    ),
+    held AS (SELECT DISTINCT doc_id, substr(md5('df:' || word), 1, 5) AS bucket FROM counted),
+    frequency AS (SELECT bucket, count(*) AS c FROM held GROUP BY bucket),
+    weighted AS (
+      SELECT doc_id, sqrt(n) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + c)) + 1) AS weight, md5('0:' || word) AS digest
+      FROM counted JOIN frequency ON bucket = substr(md5('df:' || word), 1, 5)
+    ),
+    dims AS (SELECT CAST(unnest(range(0, 128)) AS INTEGER) AS dim),
+    summed AS (
+      SELECT doc_id, dim,
+        sum(weight * (2 * (((instr('0123456789abcdef', substr(digest, dim // 4 + 1, 1)) - 1) >> (3 - dim % 4)) & 1) - 1)) AS s
+      FROM weighted, dims GROUP BY doc_id, dim
+    ),
+    scaled AS (SELECT doc_id, dim, s / nullif(sqrt(sum(s * s) OVER (PARTITION BY doc_id)), 0) AS v FROM summed)
+    SELECT doc_id, dim, round(CAST(CAST(coalesce(v, 0) AS FLOAT) AS DOUBLE), 4) AS v
+    FROM (SELECT doc_id, dim FROM documents, dims) LEFT JOIN scaled USING (doc_id, dim)""",
+)
 add(
     "whole_map",
     """SELECT row_number() OVER (ORDER BY n_chars DESC, 'd' || doc_id) - 1 AS id, 'd' || doc_id AS name, source AS summary,

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skychart.functions.markup import content_type
 from skychart.functions.text import extract_text
 from skychart.operators import clean, density, labels, layout, mapstats, outputs
 from skychart.operators.constellations import constellations
-from skychart.operators.embed import Encoder, embed_text, hashing_encoder
+from skychart.operators.embed import Encoder, embed_text
 from skychart.operators.ranking import global_dense_id
 from skychart.operators.spread import spread
 from skychart.sources import files
@@ -27,7 +29,8 @@ class MapSettings:
 
     top_packages: int | None = 10_000
     batch_size: int = 128
-    encoder_factory: Callable[[], Encoder] = field(default=hashing_encoder)
+    # None: the shipped encoder, fitted on the texts.
+    encoder_factory: Callable[[], Encoder] | None = None
     neighbors: str = "descent"
     tree: str = "graph"
     reduced_dimensions: int = 16
@@ -85,20 +88,103 @@ def clustered_dataset(placed: DataFrame, processed: DataFrame) -> DataFrame:
     )
 
 
-def run_pipeline(raw: DataFrame, folder: str, settings: MapSettings | None = None) -> dict[str, DataFrame]:
+# What each stage is built from: settings it looks at, and earlier stages.
+STAGES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "processed_dataset": (("top_packages",), ("raw",)),
+    "embeddings": (("encoder_factory", "batch_size"), ("processed_dataset",)),
+    "clustered_dataset": (
+        ("neighbors", "tree", "reduced_dimensions", "epochs", "min_cluster_size", "min_samples", "eps", "persistence"),
+        ("processed_dataset", "embeddings"),
+    ),
+    "cluster_labels": (("labeler",), ("clustered_dataset",)),
+    "cluster_metadata": ((), ("clustered_dataset",)),
+    "constellations": ((), ("clustered_dataset",)),
+    "numbered": ((), ("clustered_dataset",)),
+    "packages": ((), ("numbered",)),
+    "clusters": ((), ("cluster_labels", "cluster_metadata")),
+    "links": ((), ("constellations", "numbered")),
+}
+
+
+class Manifests:
+    """Which stages of a folder are complete, and what they were built from.
+
+    A stage's manifest names the settings it looked at, the versions of its inputs, its columns and its own version. It is removed
+    before the stage is built and written after it, so a stage that was broken off has none. A stage is only skipped
+    while its manifest says what a new one would say; a changed setting or input rebuilds it and all that follows from it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, settings: MapSettings):
+        self.spark, self.folder, self.settings = spark, folder, settings
+        self.versions: dict[str, str] = {}
+
+    def wanted(self, stage: str) -> dict[str, object]:
+        names, inputs = STAGES[stage]
+        return {"settings": {n: _told(getattr(self.settings, n)) for n in names}, "inputs": {i: self.versions[i] for i in inputs}}
+
+    def _path(self, stage: str) -> str:
+        return f"{self.folder}/_manifests/{stage}"
+
+    def complete(self, stage: str) -> bool:
+        if not _exists(self.spark, self._path(stage)):
+            return False
+        said = json.loads(self.spark.read.text(self._path(stage)).first()[0])
+        if {k: said[k] for k in ("settings", "inputs")} != self.wanted(stage):
+            return False
+        self.versions[stage] = said["version"]
+        return True
+
+    def begin(self, stage: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(stage))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def finish(self, stage: str, columns: list[str]) -> None:
+        self.versions[stage] = uuid.uuid4().hex
+        said = {**self.wanted(stage), "columns": columns, "version": self.versions[stage]}
+        row = self.spark.createDataFrame([(json.dumps(said, sort_keys=True),)], "value string")
+        row.coalesce(1).write.mode("overwrite").text(self._path(stage))
+
+
+def _told(value: object) -> object:
+    """A setting as text that changes when the setting does; functions go by their names."""
+    if callable(value):
+        return f"{getattr(value, '__module__', '')}.{getattr(value, '__qualname__', repr(value))}"
+    return value
+
+
+def input_version(raw: DataFrame) -> str:
+    """A number for the rows of a table, whatever their order: its row count and the sum of the rows' hashes."""
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns]).cast("decimal(38, 0)")
+    n, total = raw.agg(F.count("*"), F.sum(digest)).first()
+    return f"{','.join(raw.columns)}:{n}:{total}"
+
+
+def run_pipeline(
+    raw: DataFrame, folder: str, settings: MapSettings | None = None, version: str | None = None
+) -> dict[str, DataFrame]:
     """All stages in order; every stage table is written and the next stage reads it back.
 
-    With ``overwrite=False`` a stage whose table exists is skipped.
+    With ``overwrite=False`` a stage is skipped where its manifest shows that the same settings and inputs built it. ``version`` names
+    the state of ``raw``; without one its rows are hashed, in one pass.
     """
     settings = settings or MapSettings()
     spark = raw.sparkSession
+    manifests = Manifests(spark, folder, settings)
+    manifests.versions["raw"] = version or input_version(raw)
+
+    def done(name: str, build: Callable[[], DataFrame], write: Callable[[DataFrame], None]) -> None:
+        if not settings.overwrite and manifests.complete(name):
+            return
+        manifests.begin(name)
+        # The stage's table is complete when the scope deletes what its operators wrote on the way.
+        with scope():
+            built = build()
+            write(built)
+        manifests.finish(name, built.columns)
 
     def stage(name: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{folder}/{name}"
-        if settings.overwrite or not _exists(spark, path):
-            # The stage's table is complete when the scope deletes what its operators wrote on the way.
-            with scope():
-                files.write_parquet(build(), path, settings.overwrite)
+        done(name, build, lambda df: files.write_parquet(df, path, True))
         return files.scan_parquet(spark, path)
 
     processed = stage("processed_dataset", lambda: process(raw, settings))
@@ -114,7 +200,9 @@ def run_pipeline(raw: DataFrame, folder: str, settings: MapSettings | None = Non
         "constellations": outputs.constellations_output(edges, numbered),
     }
     for name, df in records.items():
-        files.write_json(df, f"{folder}/{name}.json", settings.overwrite)
+        # The links of the map share their name with the stage that finds them.
+        own = "links" if name == "constellations" else name
+        done(own, lambda df=df: df, lambda df, name=name: files.write_json(df, f"{folder}/{name}.json", True))
     return {
         "processed_dataset": processed,
         "embeddings": embeddings,
@@ -126,6 +214,6 @@ def run_pipeline(raw: DataFrame, folder: str, settings: MapSettings | None = Non
     }
 
 
-def _exists(spark, path: str) -> bool:  # noqa: ANN001
+def _exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

@@ -2,10 +2,12 @@
 
 import itertools
 import math
+import os
 import random
 
 import pytest
 
+import registered
 from skychart.operators import constellations, graph
 from skychart.operators.mapstats import exclude_noise
 
@@ -126,3 +128,17 @@ def test_blocks_and_cutoff_equal_the_direct_tree(spark, block):
             if math.hypot((top[i][1] - top[j][1]) / width, (top[i][2] - top[j][2]) / height) <= 0.1:
                 want.add((c, top[i][0], top[j][0]))
     assert got == want
+
+
+def test_forest_of_parts_equals_a_plain_one(spark):
+    """The registered query against one edge at a time in ascending order, on the smallest tables."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("tables not present")
+    least = {}
+    for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_extendedprice").collect():
+        ends = tuple(sorted((-1 - r[0], r[1])))
+        least[ends] = min(r[2], least.get(ends, r[2]))
+    want, _ = kruskal([(a, b, w) for (a, b), w in least.items()])
+    got = {tuple(r) for r in registered.spanning_forest_parts(spark, folder).collect()}
+    assert len(want) > 100 and got == want

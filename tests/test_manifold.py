@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 
-from skychart.operators import descent, layout, spectral
+from skychart.operators import density, descent, layout, spectral
 from skychart.sources.workspace import Workspace
 
 
@@ -180,3 +180,48 @@ def test_kept_neighbours(spark):
     other = spark.createDataFrame([(1, 2), (1, 9), (2, 7), (2, 8)], "id bigint, neighbor bigint")
     got = {r["id"]: r["kept"] for r in layout.kept_neighbors(near, other).collect()}
     assert got == {1: 0.5, 2: 0.0}
+
+
+def test_parts_join_by_their_least_edges_without_opening_all_blocks(spark, monkeypatch):
+    """Six groups of equal size: only blocks that may hold a least edge are compared, and the tree is that over all pairs."""
+    rng = np.random.default_rng(8)
+    middle = rng.standard_normal((6, 6)) * 30
+    data = middle[np.arange(240) % 6] + rng.standard_normal((240, 6))
+    opened = []
+    compare = density._least_edges
+
+    def counted(placed, largest, pairs):
+        opened.append(pairs.count())
+        return compare(placed, largest, pairs)
+
+    monkeypatch.setattr(density, "_least_edges", counted)
+    monkeypatch.setattr(density, "BLOCKS_AT_ONCE", 8)
+    df = frame(spark, data)
+    trees = [
+        {(r["src"], r["dst"]): r["weight"] for r in density.reachability_tree(df, 2, method, block=12).collect()}
+        for method in ("graph", "exact")
+    ]
+    assert len(trees[0]) == len(trees[1]) == 239
+    between = [{e: w for e, w in t.items() if e[0] % 6 != e[1] % 6} for t in trees]
+    assert len(between[0]) == 5 and between[0].keys() == between[1].keys()
+    assert sum(trees[0].values()) == pytest.approx(sum(trees[1].values()), rel=1e-6)
+    # Two searches a round; opening everything would be all pairs of 20 blocks each round.
+    assert 0 < sum(opened) < 0.7 * len(opened) / 2 * 20 * 20
+
+
+def test_joining_single_vectors(spark):
+    """A forest without edges: every vector is a part, and all of them may be equal."""
+    data = np.random.default_rng(9).standard_normal((30, 3))
+    data[5:9] = data[5]
+    points = density._with_core(frame(spark, data), spark.createDataFrame([], "id bigint, core double"))
+    space = Workspace(spark)
+    points = space.write(points, "points")
+    nothing = spark.createDataFrame([], "src bigint, dst bigint, weight double")
+    tree = density._joined_parts(points, nothing, 7, space).collect()
+    gaps = true_distances(data)
+    inside, total = {0}, 0.0
+    while len(inside) < 30:
+        weight, j = min((gaps[i, j], j) for i in inside for j in range(30) if j not in inside)
+        inside.add(j)
+        total += weight
+    assert len(tree) == 29 and sum(r["weight"] for r in tree) == pytest.approx(total)

@@ -1,7 +1,12 @@
 """Neighbours, fuzzy graph, layout, density clusters, embedding and the whole pipeline."""
 
+import hashlib
+import json
 import math
 import random
+import re
+from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skychart import schemas
 from skychart.functions import vectors
-from skychart.operators import density, embed, knn, layout
+from skychart.operators import density, embed, knn, labels, layout
 from skychart.plans import pipeline
 from skychart.sources.workspace import Workspace
 
@@ -205,20 +210,38 @@ def test_density_of_one_vector(spark):
 
 
 def test_embedding(spark):
-    texts = ["fast maps for data", "FAST maps, for data!", "something else", "", None]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    texts = ["fast maps for data", "FAST maps, for data!", "something else", "", None, "data, data for data"] + ["for"] * 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(3)
     got = {r["id"]: np.array(r["embeddings"]) for r in embed.embed_text(df, "text", batch_size=2).collect()}
     assert np.allclose(got[0], got[1])
-    assert np.linalg.norm(got[0]) == pytest.approx(1, abs=1e-6)
-    assert abs(got[0] @ got[2]) < 0.5
     assert not got[3].any()
     assert not got[4].any()
 
+    # Every value from the definition: signs of digests, roots of counts, inverse document frequencies of all texts.
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    frequency = Counter(w for ws in words for w in set(ws))
+    for i, ws in enumerate(words):
+        want = np.zeros(128)
+        for w, n in Counter(ws).items():
+            bits = f"{int(hashlib.md5(f'0:{w}'.encode()).hexdigest(), 16):0128b}"
+            weight = math.sqrt(n) * (math.log((1 + len(texts)) / (1 + frequency[w])) + 1)
+            want += weight * np.array([1 if b == "1" else -1 for b in bits])
+        assert np.allclose(got[i], want / (np.linalg.norm(want) or 1), atol=1e-6)
+    # A word that all texts share says less than a rare one.
+    plain = embed.hashing_encoder()(texts)
+    assert got[2] @ got[2] == pytest.approx(1) and plain[5] @ plain[6] > got[5] @ got[6]
+    wide = embed.hashing_encoder(200)(["one two", ""])
+    assert wide.shape == (2, 200) and np.linalg.norm(wide[0]) == pytest.approx(1)
+    assert embed.fit_frequencies(df, "text").texts == len(texts)
+    # Embedding some rows with what was learned from all gives the same vectors.
+    some = embed.embed_text(df.where("id < 3"), "text", embed.fitted_encoder(df, "text")).collect()
+    assert all(np.array_equal(np.array(r["embeddings"]), got[r["id"]]) for r in some)
+
     def lengths():
         return lambda batch: np.array([[len(t)] for t in batch], dtype="float32")
 
     got = {r["id"]: r["v"] for r in embed.embed_text(df, "text", lengths, "v").collect()}
-    assert got == {0: [18.0], 1: [20.0], 2: [14.0], 3: [0.0], 4: [0.0]}
+    assert {i: got[i] for i in range(5)} == {0: [18.0], 1: [20.0], 2: [14.0], 3: [0.0], 4: [0.0]}
 
 
 def test_pipeline(spark):
@@ -239,5 +262,44 @@ def test_pipeline(spark):
     assert out["clusters"].where("label IS NULL OR downloads IS NULL").isEmpty()
     written = spark.read.schema(schemas.PACKAGES_JSON).json(f"{folder}/packages.json")
     assert written.count() == 80
-    again = pipeline.run_pipeline(raw.limit(0), folder, pipeline.MapSettings(overwrite=False))
-    assert again["packages"].count() == 80
+
+
+def test_stages_are_skipped_only_while_nothing_changed(spark):
+    words = ["plot chart figure axis", "http server socket request"]
+    rows = [(f"n{i}", f"# T\n\n{words[i % 2]} x{i % 5}", None, words[i % 2], "1", str(100 - i)) for i in range(40)]
+    raw = spark.createDataFrame(rows, schemas.RAW_DATASET)
+    folder = Workspace(spark).folder + "/map"
+    base = pipeline.MapSettings(top_packages=30, reduced_dimensions=2, epochs=2, overwrite=False)
+
+    def versions():
+        read = {n: spark.read.text(f"{folder}/_manifests/{n}").first()[0] for n in pipeline.STAGES}
+        return {n: json.loads(said) for n, said in read.items()}
+
+    pipeline.run_pipeline(raw, folder, base)
+    first = versions()
+    assert first["processed_dataset"]["columns"] and first["embeddings"]["settings"]["batch_size"] == 128
+
+    def rebuilt(df, settings):
+        before = versions()
+        pipeline.run_pipeline(df, folder, settings)
+        return {n for n, said in versions().items() if said["version"] != before[n]["version"]}
+
+    # The same rows in another order change nothing.
+    assert rebuilt(raw.orderBy("summary"), base) == set()
+    late = {"cluster_labels", "clusters"}
+    assert rebuilt(raw, replace(base, labeler=other_terms)) == late
+    assert rebuilt(raw, replace(base, labeler=other_terms, top_packages=20)) == set(pipeline.STAGES)
+    assert spark.read.schema(schemas.PACKAGES_JSON).json(f"{folder}/packages.json").count() == 20
+    # A stage that was broken off has no manifest and is built again, with all that follows.
+    again = replace(base, labeler=other_terms, top_packages=20)
+    pipeline.Manifests(spark, folder, again).begin("constellations")
+    before = spark.read.text(f"{folder}/_manifests/numbered").first()[0]
+    pipeline.run_pipeline(raw, folder, again)
+    assert versions()["constellations"]["inputs"] == {"clustered_dataset": versions()["clustered_dataset"]["version"]}
+    assert versions()["links"]["inputs"]["constellations"] == versions()["constellations"]["version"]
+    assert spark.read.text(f"{folder}/_manifests/numbered").first()[0] == before
+    assert rebuilt(raw.limit(10), again) == set(pipeline.STAGES)
+
+
+def other_terms(points):
+    return labels.top_terms(points)
