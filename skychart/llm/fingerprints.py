@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from skychart.functions.bind import let
 
-# Lanes that tell texts apart: each paragraph adds 32 pseudo-random bits to each, modulo 2^32.
+# Lanes that tell texts apart: each paragraph adds 32 pseudo-random bits to each, modulo 2^32. The number of the lane goes in
+# before the paragraph's two digests, so lanes collide one by one, all of them only where both digests do.
 WIDE_LANES = 16
 # Lanes that measure likeness: each run of words in a paragraph adds one hashed bit to each, modulo 2^31.
 # One 64-bit hash gives 62 bits: two lanes, 31 bits apart, share a sum.
@@ -50,7 +51,7 @@ def lanes() -> dict[str, Column]:
     is_paragraph = F.col("_pos") == 0
     out = {
         f"_w{j}": F.sum(
-            F.when(is_paragraph, F.shiftrightunsigned(F.xxhash64("_d1", "_d2", F.lit(j)), 32)).otherwise(F.lit(0))
+            F.when(is_paragraph, F.shiftrightunsigned(F.xxhash64(F.lit(j), "_d1", "_d2"), 32)).otherwise(F.lit(0))
         )
         for j in range(WIDE_LANES)
     }
