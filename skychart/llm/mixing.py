@@ -113,7 +113,8 @@ def mixed(
     ``_copies`` is its whole part, and one more where a hash of seed and doc_id, uniform in [0, 1), lies below the rest. So the
     expected tokens are those of all documents, their expected shares meet the targets, and no cell changes how
     much is kept of another one of the same ratio. ``_probability`` that a document is in the sample at all is the ratio, at most 1.
-    Equal ids are decided alike and any rerun gives the same sample.
+    Equal ids are decided alike and any rerun gives the same sample. Rows without id are decided one by one, equal ones too:
+    by their text and their place in the table, so the same as long as the table is read in the same parts.
     Texts without words carry no tokens: they keep the weight of their cell if it has tokens, else one copy.
     Targets for values that do not occur are ignored, and shares are rescaled; a value without target is dropped from the sample.
     """
@@ -141,14 +142,17 @@ def mixed(
         ),
         "ratios",
     )
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("_nameless")))
     uniform = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
-    joined = marked.join(ratios, axes, "left")
+    place = F.concat_ws(":", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.monotonically_increasing_id().cast("string"))
+    joined = marked.withColumn("_nameless", F.when(F.col("doc_id").isNull(), place)).join(ratios, axes, "left")
     dropped = F.lit(0.0) if targets else F.lit(1.0)
     expected = F.coalesce("_ratio", F.when(F.col("_tokens") > 0, dropped).otherwise(1.0))
     copies = F.floor(expected) + (uniform < expected - F.floor(expected)).cast("bigint")
-    return joined.withColumns({"_probability": F.least(expected, F.lit(1.0)), "_copies": copies}).withColumn(
-        "_sampled", F.col("_copies") > 0
+    return (
+        joined.withColumns({"_probability": F.least(expected, F.lit(1.0)), "_copies": copies})
+        .withColumn("_sampled", F.col("_copies") > 0)
+        .drop("_nameless")
     )
 
 

@@ -179,6 +179,29 @@ def test_a_rare_cell_does_not_thin_the_rest(spark):
     assert kept == {i: r["_copies"] for i, r in got.items() if r["_copies"]}
 
 
+def test_rows_without_id_have_their_own_draws(spark):
+    """A third of the rows without id, most of these alike: the targets are met as closely as with ids."""
+    rows = [(None if i % 3 == 0 else i, "one two three four" + (f" {i}" if i % 2 else ""), "en", "ab"[i % 10 == 0]) for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    targets = {"source": spark.createDataFrame([("a", 0.7), ("b", 0.3)], "source string, target double")}
+    drawn = mixing.mixed(docs, targets=targets)
+    assert "_nameless" not in drawn.columns
+    got = drawn.groupBy("_source").agg(F.sum(F.col("_tokens") * F.col("_copies")).alias("n")).collect()
+    total = sum(r["n"] for r in got)
+    assert {r["_source"]: r["n"] / total for r in got} == pytest.approx({"a": 0.7, "b": 0.3}, abs=0.01)
+    copies = drawn.where("doc_id IS NULL AND _source = 'b'").select("_copies").distinct().count()
+    assert copies == 2
+
+
+def test_lanes_are_seeded_before_the_digests(spark):
+    """Each wide lane is a hash of its own: its number is hashed before the paragraph's digests."""
+    docs = spark.createDataFrame([(0, "a paragraph")], "k int, _text string")
+    wide = fingerprints.vectors(docs, ["k"]).first()["wide"]
+    digests = docs.select(F.xxhash64("_text").alias("a"), F.xxhash64(F.lit("second"), "_text").alias("b"))
+    lanes = [F.shiftrightunsigned(F.xxhash64(F.lit(j), "a", "b"), 32) for j in range(fingerprints.WIDE_LANES)]
+    assert list(wide) == list(digests.select(*lanes).first())
+
+
 def test_rows_without_id_hide_and_bridge_nothing(spark):
     """A null-id copy ahead of a near-copy pair; a null-id text between two that are not alike themselves."""
     w = [f"w{i}" for i in range(120)]
