@@ -5,18 +5,20 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import batched
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skychart.llm.words import slices, span_hashes, text_bytes
 from skychart.sources.workspace import Workspace
 
 # Labelled rows that the index is fitted on: those with the smallest hash of their id.
@@ -27,8 +29,11 @@ MIN_CHI2 = 20.0
 STEM = 5
 NEIGHBOURS = 25
 BLOCK = 64
-# The terms with most postings, kept as columns, and queries that are searched in step.
-COLUMNS, QUERIES = 1024, 64
+# The terms with most postings, kept as columns, and queries that are searched in step. A column costs every query one
+# product per example, a list only the queries with its term.
+COLUMNS, QUERIES = 768, 64
+# Bytes of text whose terms are counted at a time (or one longer text), and bits of a term's key beside the number of its row.
+PARSED, KEY_BITS = 1 << 18, 54
 # Words that no example has are counted over all documents in so many hash groups.
 OTHER_BITS = 21
 # The weight of the base rate in a vote, in units of one example without any likeness.
@@ -41,7 +46,8 @@ KEPT_SCORES = 100_000
 FOLDS = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
-_TERM = "term string, toxic bigint, n bigint"
+_WIDE = re.compile(r"[^\x00-\x7F]")
+_TERM = "term bigint, toxic bigint, n bigint"
 _SLOT = "slot bigint, n bigint"
 _NEAR = T.ArrayType(
     T.StructType(
@@ -59,11 +65,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def terms_of(distinct: set[str]) -> set[str]:
-    """Words, and beginnings of longer words marked by a star."""
-    return distinct | {w[:STEM] + "*" for w in distinct if len(w) > STEM}
-
-
 def counted(text: str | None) -> Counter[str]:
     """Occurrences of words, and of beginnings of longer words marked by a star."""
     counts = Counter(words_of(text))
@@ -75,9 +76,81 @@ def counted(text: str | None) -> Counter[str]:
     return counts
 
 
-def other_slot(term: str) -> int:
-    """The hash group of a term that no example has."""
-    return zlib.crc32(term.encode("utf-8", "replace")) >> (32 - OTHER_BITS)
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = _LETTER[128:] = True
+_STAR = np.uint64(0x9E3779B97F4A7C15)
+_KEY = np.uint64((1 << KEY_BITS) - 1)
+
+
+def counts_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``counted`` for many texts: (from row, to row, rows from the first, keys, occurrences), by row and key.
+
+    A key are 54 bits that stand for a term; two terms share theirs by a chance of about 2^-54 a pair.
+    """
+    texts = plain(texts)
+    values, offsets = text_bytes(texts)
+    for low, high in slices(offsets, PARSED):
+        for a in range(low, high, 1 << (64 - KEY_BITS)):
+            b = min(high, a + (1 << (64 - KEY_BITS)))
+            rows, keys = _keys(values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            both, times = np.unique(rows.astype(np.uint64) << np.uint64(KEY_BITS) | keys, return_counts=True)
+            yield a, b, (both >> np.uint64(KEY_BITS)).astype(np.int64), both & _KEY, times
+
+
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts whose words are their longest runs of ASCII letters and other bytes above 127."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    wide = pc.invert(pc.string_is_ascii(texts)).to_numpy(zero_copy_only=False)
+    if wide.any():
+        words = []
+        for x in texts.filter(pa.array(wide)).to_pylist():
+            x = x.lower()
+            for c in set(_WIDE.findall(x)):
+                if not _WORD.match(c):
+                    x = x.replace(c, " ")
+            words.append(x)
+        texts = pc.replace_with_mask(texts, pa.array(wide), pa.array(words, pa.large_string()))
+    return texts
+
+
+def _keys(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of every word and beginning between the bounds of rows."""
+    letter = np.zeros(len(data) + 2, bool)
+    letter[1:-1] = _LETTER[data]
+    fresh = np.zeros(len(data) + 1, bool)
+    fresh[rows] = True
+    starts = np.flatnonzero(letter[1:] & (~letter[:-1] | fresh))
+    ends = np.flatnonzero(letter[:-1] & (~letter[1:] | fresh))
+    if len(data) and data.max() > 127:
+        # Places of the first bytes of code points, and how many lie before a byte.
+        points = np.flatnonzero((data & 0xC0) != 0x80)
+        first, last = np.searchsorted(points, starts), np.searchsorted(points, ends)
+        long = last - first > STEM
+        cuts = points[first[long] + STEM]
+    else:
+        long = ends - starts > STEM
+        cuts = starts[long] + STEM
+    words = span_hashes(data, starts, ends)
+    stems = span_hashes(data, starts[long], cuts) * _STAR + _STAR
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(np.searchsorted(starts, rows)))
+    return np.concatenate([row, row[long]]), np.concatenate([words, stems]) & _KEY
+
+
+def places(keys: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Where each key is in the sorted vocabulary, -1 where it is not."""
+    if not len(vocabulary):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == keys, at, -1)
+
+
+def other_slots(keys: np.ndarray) -> np.ndarray:
+    """The hash groups of terms that no example has."""
+    return (keys >> np.uint64(KEY_BITS - OTHER_BITS)).astype(np.int64)
+
+
+# An entry of a list, read in one piece.
+_ENTRY = np.dtype([("example", np.int32), ("weight", np.float32)])
 
 
 @dataclass
@@ -95,22 +168,20 @@ class BlockMaxIndex:
     size: int = 0
     column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    listed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    lists: np.ndarray = field(default_factory=lambda: np.zeros(0, _ENTRY))
     dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
 
     def __getstate__(self) -> dict:
-        """What is sent to tasks: of the columns only what is not zero, and numbers of examples in two bytes where they fit."""
+        """What is sent to tasks: of the columns only what is not zero."""
         at = np.flatnonzero(self.dense)
-        small = np.uint16 if self.size < 1 << 16 else np.int32
         place = at.astype(np.uint32 if self.dense.size < 1 << 32 else np.int64)
-        lost = {"dense": (self.dense.shape, place, self.dense.ravel()[at]), "ids": self.ids.astype(small), "most": None}
+        lost = {"dense": (self.dense.shape, place, self.dense.ravel()[at]), "most": None}
         return self.__dict__ | lost
 
     def __setstate__(self, state: dict) -> None:
         shape, at, values = state["dense"]
-        self.__dict__ |= state | {"dense": np.zeros(shape, np.float32), "ids": state["ids"].astype(np.int32)}
+        self.__dict__ |= state | {"dense": np.zeros(shape, np.float32)}
         self.dense.ravel()[at] = values
         self.most = self._largest()
 
@@ -127,25 +198,24 @@ class BlockMaxIndex:
             index.column, index.first = np.full(len(idf), -1, np.int32), np.zeros(len(idf) + 1, np.int64)
             return index
         # Entries are held once, in small types: the driver builds this.
-        both = [(t.astype(np.int32), w.astype(np.float32)) for t, w, _ in map(index._weights, examples)]
         lengths = np.zeros(len(idf), np.int64)
-        for terms, _ in both:
-            lengths[terms] += 1
+        for e in examples:
+            lengths[np.asarray(e, dtype=np.int64).reshape(-1, 2)[:, 0]] += 1
         frequent = np.argsort(-lengths, kind="stable")[:columns]
         index.column = np.full(len(idf), -1, np.int32)
         index.column[frequent] = np.arange(len(frequent))
         index.dense = np.zeros((index.size, len(frequent)), np.float32)
         lengths[frequent] = 0
         index.first = np.concatenate([[0], np.cumsum(lengths)])
-        index.ids = np.zeros(index.first[-1], np.int32)
-        index.listed = np.zeros(index.first[-1], np.float32)
+        index.lists = np.zeros(index.first[-1], _ENTRY)
         free = index.first[:-1].copy()
-        for i, (terms, weights) in enumerate(both):
+        for i, e in enumerate(examples):
+            terms, weights, _ = index._weights(e)
             place = index.column[terms]
             index.dense[i, place[place >= 0]] = weights[place >= 0]
             terms = terms[place < 0]
-            index.ids[free[terms]] = i
-            index.listed[free[terms]] = weights[place < 0]
+            index.lists["example"][free[terms]] = i
+            index.lists["weight"][free[terms]] = weights[place < 0]
             free[terms] += 1
         index.most = index._largest()
         return index
@@ -167,53 +237,70 @@ class BlockMaxIndex:
         return self.search([(counts, 0.0)], k)[0]
 
     def search(self, queries: Sequence[tuple], k: int) -> list[list[tuple[float, int]]]:
-        """``nearest`` of several (counts, squared length of other terms) in step."""
+        """``nearest`` of several (counts, squared length of other terms) in step.
+
+        The lists are the essential terms: only they are read for all examples. The columns, which weigh little each, are
+        multiplied for a block only where its bound reaches the running k-th best score of a query.
+        """
         n, size, block = len(queries), self.size, self.block
         if not size or not n:
             return [[] for _ in queries]
         wide = np.zeros((n, self.dense.shape[1]), np.float64)
         rest = np.zeros((n, size), np.float64)
+        packed = self.lists.view(np.int64)
         for i, (counts, beyond) in enumerate(queries):
             terms, weights, _ = self._weights(counts, beyond)
             place = self.column[terms]
             wide[i, place[place >= 0]] = weights[place >= 0]
             terms, weights = terms[place < 0], weights[place < 0]
-            low, high = self.first[terms], self.first[terms + 1]
-            lengths = high - low
-            at = np.arange(lengths.sum()) + np.repeat(low - (np.cumsum(lengths) - lengths), lengths)
-            if len(at):
-                rest[i] = np.bincount(self.ids[at], self.listed[at] * np.repeat(weights, lengths), minlength=size)
+            some = self.first[terms + 1] > self.first[terms]
+            low, high = self.first[terms[some]], self.first[terms[some] + 1]
+            if len(low):
+                both = np.concatenate([packed[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]).view(_ENTRY)
+                listed = both["weight"] * np.repeat(weights[some], high - low)
+                rest[i] = np.bincount(both["example"].astype(np.int64), listed, minlength=size)
         narrow = wide.astype(np.float32)
         cuts = np.arange(0, size, block)
         # The margin covers rounding in sums taken in another order and precision.
         bounds = narrow @ self.most.T + np.maximum.reduceat(rest, cuts, axis=1)
         scores = np.zeros((n, size), np.float32)
+        top = np.zeros((n, len(cuts)), np.float32)
         least = np.full(n, -np.inf)
 
-        def opened(b: int, rows: np.ndarray) -> None:
+        def opened(b: int, rows: np.ndarray) -> np.ndarray:
             part = slice(b * block, (b + 1) * block)
-            scores[rows, part] = narrow[rows] @ self.dense[part].T + rest[rows, part]
+            if len(rows) == n:
+                scores[:, part] = narrow @ self.dense[part].T + rest[:, part]
+            else:
+                scores[rows, part] = narrow[rows] @ self.dense[part].T + rest[rows, part]
+            found = scores[rows, part]
+            top[rows, b] = found.max(axis=1)
+            return found
 
         best = bounds.argmax(axis=1)
         for b in np.unique(best):
             rows = np.flatnonzero(best == b)
-            opened(int(b), rows)
-            found = scores[rows, b * block : (b + 1) * block]
+            found = opened(int(b), rows)
             if found.shape[1] >= k:
-                least[rows] = -np.partition(-found, k - 1, axis=1)[:, k - 1]
-        for b in range(len(cuts)):
+                least[rows] = np.partition(found, -k, axis=1)[:, -k]
+        # Blocks with high bounds first, which lets the k-th best grow early: of k blocks' best scores the least is one bound of it.
+        for turn, b in enumerate(np.argsort(-bounds.max(axis=0), kind="stable")):
             rows = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] + 1e-4 >= least) & (best != b))
             if len(rows):
-                opened(b, rows)
+                opened(int(b), rows)
+            if turn % 32 == 31 and len(cuts) >= k:
+                least = np.maximum(least, np.partition(top, -k, axis=1)[:, -k])
+        if len(cuts) >= k:
+            least = np.maximum(least, np.partition(top, -k, axis=1)[:, -k])
         out = []
         for i in range(n):
-            near = np.arange(size)
-            if size > k:
-                near = np.flatnonzero(scores[i] >= -np.partition(-scores[i], k - 1)[k - 1] - 1e-4)
+            near = np.flatnonzero(scores[i] >= max(least[i] - 1e-4, 0.0))
+            if len(near) > k:
+                near = near[scores[i, near] >= np.partition(scores[i, near], -k)[-k] - 1e-4]
             near = near[scores[i, near] > 0]
             exact = self.dense[near].astype(np.float64) @ wide[i] + rest[i, near]
             order = np.lexsort((near, -exact))[:k]
-            out.append([(float(exact[j]), int(near[j])) for j in order])
+            out.append(list(zip(exact[order].tolist(), near[order].tolist(), strict=True)))
         return out
 
 
@@ -233,10 +320,11 @@ def monotone(raw: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tuple[np
 class ToxicModel:
     """The labelled examples: distinct vectors with their labels, and the calibration of their votes.
 
-    ``others`` has the documents, ``total`` in all, that have a word of a hash group which no example has.
+    ``vocabulary`` has the keys of the examples' terms in order. ``others`` has the documents, ``total`` in all, that have a
+    word of a hash group which no example has.
     """
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray
     index: BlockMaxIndex
     toxic: np.ndarray
     count: np.ndarray
@@ -246,18 +334,18 @@ class ToxicModel:
     others: np.ndarray = field(default_factory=lambda: np.zeros(1 << OTHER_BITS, np.int32))
     total: int = 0
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, float] | None:
-        """(term, occurrences) of the examples' terms, and the squared length of all others; None without words."""
-        counts = counted(text)
-        if not counts:
-            return None
-        terms = np.array([self.vocabulary.get(t, -1) for t in counts], np.int64)
-        times = np.array(list(counts.values()), np.int64)
-        new = terms < 0
-        slots = [other_slot(t) for t, other in zip(counts, new.tolist(), strict=True) if other]
-        idf = np.log(1.0 + self.total / np.maximum(1, self.others[slots])) if slots else np.zeros(0)
-        beyond = float((((1.0 + np.log(times[new])) * idf) ** 2).sum())
-        return np.column_stack([terms[~new], times[~new]]), beyond
+    def vectors(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, float] | None]:
+        """Of each text (term, occurrences) of the examples' terms, and the squared length of all others; None without words."""
+        for low, high, rows, keys, times in counts_of(texts):
+            known = places(keys, self.vocabulary)
+            old, new = known >= 0, known < 0
+            idf = np.log(1.0 + self.total / np.maximum(1, self.others[other_slots(keys[new])]))
+            beyond = np.bincount(rows[new], ((1.0 + np.log(times[new])) * idf) ** 2, minlength=high - low)
+            some = np.bincount(rows, minlength=high - low)
+            pairs = np.column_stack([known[old], times[old]])
+            ends = np.searchsorted(rows[old], np.arange(high - low + 1))
+            for i in range(high - low):
+                yield (pairs[ends[i] : ends[i + 1]], float(beyond[i])) if some[i] else None
 
     def vote(self, near: list[tuple[float, int]], left_out: int = -1) -> float:
         """The share of toxic examples among the neighbours, weighted by distance; one copy may be left out."""
@@ -276,16 +364,16 @@ class ToxicModel:
             return raw
         return float(min(1.0, max(0.0, np.interp(raw, *self.knots))))
 
-    def scores(self, texts: Sequence[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+    def scores(self, texts: pa.Array) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         """Probability and evidence of each text; one without words has the rate of such examples."""
-        out: list = [(self.empty, [])] * len(texts)
-        for low in range(0, len(texts), QUERIES):
-            vectors = [self.vector(t) for t in texts[low : low + QUERIES]]
-            asked = [i for i, v in enumerate(vectors) if v is not None]
-            found = self.index.search([vectors[i] for i in asked], NEIGHBOURS)
-            for i, near in zip(asked, found, strict=True):
-                out[low + i] = (self.calibrated(self.vote(near)), near)
-        return out
+        for group in batched(self.vectors(texts), QUERIES):
+            found = iter(self.index.search([v for v in group if v is not None], NEIGHBOURS))
+            for v in group:
+                if v is None:
+                    yield self.empty, []
+                else:
+                    near = next(found)
+                    yield self.calibrated(self.vote(near)), near
 
 
 def labelled(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -300,21 +388,21 @@ def labelled(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     )
 
 
-def _frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
+def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Documents with each term of the vocabulary, with each hash group of other terms, and in all."""
     shared, size = docs.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)
+    slots = size + (1 << OTHER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        sums, rows = np.zeros(size + (1 << OTHER_BITS) + 1, np.int64), 0
+        sums = np.zeros(slots + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                found = terms_of(set(words_of(text.as_py())))
-                old = known.keys() & found
-                sums[[known[t] for t in old]] += 1
-                sums[list({size + other_slot(t) for t in found - old})] += 1
-                rows += 1
-        sums[-1] = rows
+            for low, high, rows, keys, _ in counts_of(batch.column(0)):
+                known = places(keys, shared.value)
+                slot = np.where(known < 0, size + other_slots(keys), known)
+                # Two terms of one group count once in a document.
+                once = np.unique(rows * slots + slot) % slots
+                sums += np.bincount(once, minlength=slots + 1)
+                sums[-1] += high - low
         used = np.flatnonzero(sums)
         for low in range(0, len(used), 1 << 16):
             part = used[low : low + (1 << 16)]
@@ -328,7 +416,7 @@ def _frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarra
         .toArrow()
     )
     shared.destroy()
-    sums = np.zeros(size + (1 << OTHER_BITS) + 1, np.int64)
+    sums = np.zeros(slots + 1, np.int64)
     sums[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return sums[:size], sums[size:-1].astype(np.int32), int(sums[-1])
 
@@ -354,27 +442,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     n = n1 + n0
     if not n:
-        return ToxicModel({}, BlockMaxIndex(np.zeros(0)), np.zeros(0), np.zeros(0), 0.0, 0.0)
+        return ToxicModel(np.zeros(0, np.uint64), BlockMaxIndex(np.zeros(0)), np.zeros(0), np.zeros(0), 0.0, 0.0)
 
-    def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                found[toxic].update(terms_of(set(words_of(text))))
-            both = [(t, toxic, c) for toxic in (0, 1) for t, c in found[toxic].items()]
-            yield pd.DataFrame(both, columns=["term", "toxic", "n"])
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(1).to_numpy()
+            for low, high, rows, keys, _ in counts_of(batch.column(0)):
+                for label in (0, 1):
+                    has, n = np.unique(keys[toxic[low:high][rows] == label], return_counts=True)
+                    columns = [pa.array(has.view(np.int64)), pa.array(np.full(len(has), label)), pa.array(n)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "n"])
 
     # At most the distinct words of max_examples rows.
     terms = (
-        examples.mapInPandas(seen, _TERM)
+        examples.mapInArrow(seen, _TERM)
         .groupBy("term")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("df"))
-        .orderBy("term")
         .toArrow()
     )
-    vocabulary = {t.as_py(): i for i, t in enumerate(terms.column("term"))}
-    a, df = (terms.column(c).to_numpy().astype(np.float64) for c in ("a", "df"))
-    del terms
+    vocabulary = terms.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary = vocabulary[order]
+    a, df = (terms.column(c).to_numpy()[order].astype(np.float64) for c in ("a", "df"))
+    del terms, order
     # Chi-square of the two-by-two table of term and label.
     below = df * (n - df) * float(n1) * n0
     chi2 = np.divide(n * (a * n - df * n1) ** 2, below, out=np.zeros(len(df)), where=below > 0)
@@ -383,14 +473,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     weight = np.log(1.0 + total / np.maximum(documents, 1)) * (1.0 + link)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            known = shared.value
-            found = [np.array(sorted((known[t], n) for t, n in counted(x).items()), "<u4").tobytes() for x in frame["text"]]
-            yield pd.DataFrame({"vector": found, "toxic": frame["toxic"].astype("int64"), "n": 1})
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, rows, keys, times in counts_of(batch.column(0)):
+                pairs = np.column_stack([places(keys, shared.value), times]).astype("<u4")
+                ends = np.searchsorted(rows, np.arange(high - low + 1))
+                found = pa.array([pairs[ends[i] : ends[i + 1]].tobytes() for i in range(high - low)], pa.binary())
+                labels = batch.column(1).slice(low, high - low).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([found, labels, pa.array(np.ones(high - low, np.int64))], names=["vector", "toxic", "n"])
 
     grouped = space.write(
-        examples.mapInPandas(vectors, "vector binary, toxic bigint, n bigint")
+        examples.mapInArrow(vectors, "vector binary, toxic bigint, n bigint")
         .groupBy("vector")
         .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")),
         "vectors",
@@ -421,7 +514,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     # Each example is scored by the others; the votes are then mapped to the rates they had.
     if full:
         numbers = {hashlib.md5(r[1]).digest(): i for i, r in enumerate(full)}
-        lent = docs.sparkSession.sparkContext.broadcast((replace(model, vocabulary={}, others=np.zeros(0)), numbers))
+        lent = docs.sparkSession.sparkContext.broadcast((replace(model, vocabulary=model.vocabulary[:0], others=np.zeros(0)), numbers))
 
         def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model, numbers = lent.value
@@ -473,10 +566,9 @@ def scored(docs: DataFrame, model: ToxicModel, keep: Sequence[str] | None = None
             if len(known) >= KEPT_SCORES:
                 known.clear()
             fresh = list({k: i for i, k in enumerate(keys) if k not in known}.items())
-            for low in range(0, len(fresh), QUERIES):
-                part = fresh[low : low + QUERIES]
-                found = model.scores([texts[i].as_py() for _, i in part])
-                known |= {k: (score, near[:5]) for (k, _), (score, near) in zip(part, found, strict=True)}
+            if fresh:
+                found = model.scores(texts.take(pa.array([i for _, i in fresh])))
+                known |= {k: (score, near[:5]) for (k, _), (score, near) in zip(fresh, found, strict=True)}
             scores = [known[k][0] for k in keys]
             evidence = [
                 [{"example": i, "similarity": s, "toxic": float(model.toxic[i] / model.count[i])} for s, i in known[k][1]]

@@ -7,6 +7,7 @@ have equal hashes everywhere; different ones differ but for a chance of about 2^
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,32 @@ class WordHasher:
         return mix(word + (ends - starts + 1).astype(np.uint64) * _ODD), starts
 
 
+@cache
+def _first_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(CHUNK)
+
+
+def _some_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _first_powers() if n <= CHUNK else _powers(n)
+    return up[:n], down[:n]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from ``starts`` (in ascending order) to before ``ends``, where A-Z count as a-z."""
+    out, low = [np.zeros(0, np.uint64)], 0
+    while low < len(starts):
+        # As many spans as lie in a part of the bytes, or one longer span.
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + CHUNK)))
+        first, last = int(starts[low]), int(ends[low:high].max())
+        up, down = _some_powers(last - first)
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(_BYTES[data[first:last]] * up, out=sums[1:])
+        at, to = starts[low:high] - first, ends[low:high] - first
+        out.append(mix((sums[to] - sums[at]) * down[at] + (to - at).astype(np.uint64) * _ODD))
+        low = high
+    return np.concatenate(out)
+
+
 def runs(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word runs of each row, and runs per row; a row of fewer words gives one run of all."""
     n = len(hashes)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,24 @@ def test_secret_candidates():
     assert secretscan.candidates("") == []
 
 
+def test_terms_counted_for_many_texts():
+    """Counts from bytes equal those of the words as Python reads them, over odd texts and texts beyond a part."""
+    rng = random.Random(7)
+    texts = ["Hello hello, wörldÉs éclairés x_1y", None, "", " ", "a" * 40 + " Aaaaaa", "ΣΑΣ straße12straße “quoted” naïveté ½x", "漢字漢字漢字 漢字漢字漢字。"]
+    texts += ["".join(rng.choices("abcABC é—1_ \n", k=rng.randrange(400))) for _ in range(300)]
+    texts += [" ".join("".join(rng.choices("xyzÜ", k=6)) for _ in range(60_000)), "q" * (2 << 20)]
+    seen, keys = 0, {}
+    for low, high, rows, found, times in toxicity.counts_of(pa.array(texts)):
+        for i in range(low, high):
+            expected = toxicity.counted(texts[i])
+            mine = rows == i - low
+            assert sorted(times[mine].tolist()) == sorted(expected.values())
+            if len(expected) == 1:
+                keys.setdefault(next(iter(expected)), set()).add(int(found[mine][0]))
+            seen += 1
+    assert seen == len(texts) and all(len(v) == 1 for v in keys.values())
+
+
 def test_block_max_search_of_lists_and_columns():
     rng = np.random.default_rng(9)
     idf = rng.uniform(0.5, 4, 60)
