@@ -1,8 +1,8 @@
 """Queries over the map: viewports, boxes, nearest points, top labels.
 
 All of them are batch tables of queries joined with the points. The joins are equi-joins on grid
-cells of several sizes, so no pair outside a shared cell is ever formed, and a crowded cell is an
-ordinary skewed join key.
+cells of several sizes, so no pair outside a shared cell is ever formed. Two small tables can have very many pairs, so
+the number of tasks does not follow from their bytes, and the rows of a crowded cell are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -17,16 +17,21 @@ BOX = ("min_x", "max_x", "min_y", "max_y")
 # Cells are never smaller than 2^-20: a larger cell than needed is still right.
 _SMALLEST = 2.0**-20
 
+# A cell's length is the power of two above a box's longer side, halved so many times.
+_FINER = 1
+# Parts of a cell's left rows, each of which meets all its right rows, and tasks of a join per core.
+_SALTS, _TASKS_PER_CORE = 8, 4
+
 # Share of the viewport added as padding, and the least padding for clusters.
 PADDING_FACTOR = 0.1
 MIN_CLUSTER_PADDING = 0.1
 
 
 def _level(box: Sequence[str]) -> Column:
-    """The power of two whose cell is at least as long as the box's longer side."""
+    """The power of two that is the length of the box's cells: at least half its longer side."""
     min_x, max_x, min_y, max_y = (F.col(c) for c in box)
     side = F.greatest(max_x - min_x, max_y - min_y, F.lit(_SMALLEST))
-    return F.ceil(F.log2(side)).cast("int")
+    return F.ceil(F.log2(side)).cast("int") - _FINER
 
 
 def _cell(value: Column, level: Column) -> Column:
@@ -46,10 +51,11 @@ def overlap_join(
 ) -> DataFrame:
     """All pairs of rows whose closed boxes intersect; column names must not collide.
 
-    A box meets at most four cells of its own size. A pair is matched on cells of the larger size
+    A box meets at most nine cells of its own size. A pair is matched on cells of the larger size
     of the two and kept only in the cell holding the lower-left corner of the intersection, so
-    each pair appears once without a distinct. Points are boxes of zero size.
+    each pair appears once without a distinct. Points are boxes of zero size. The rows of a cell are dealt by salts.
     """
+    tasks = _TASKS_PER_CORE * left.sparkSession.sparkContext.defaultParallelism
     left = left.where((F.col(left_box[0]) <= F.col(left_box[1])) & (F.col(left_box[2]) <= F.col(left_box[3])))
     right = right.where(
         (F.col(right_box[0]) <= F.col(right_box[1])) & (F.col(right_box[2]) <= F.col(right_box[3]))
@@ -89,8 +95,16 @@ def overlap_join(
 
     a = placed(left, left_box, left_level, "l", levels)
     b = placed(right, right_box, _level(right_box), "r", right_levels)
+    a = a.withColumn("_l_salt", F.pmod(F.xxhash64(*left.columns), F.lit(_SALTS)).cast("int"))
+    b = b.withColumn("_r_length", F.pow(F.lit(2.0), F.col("_r_at")))
+    b = b.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    key = ("at", "cx", "cy", "salt")
+    a, b = a.repartition(tasks, *[f"_l_{c}" for c in key]), b.repartition(tasks, *[f"_r_{c}" for c in key])
     same_cell = (
-        (a["_l_at"] == b["_r_at"]) & (a["_l_cx"] == b["_r_cx"]) & (a["_l_cy"] == b["_r_cy"])
+        (a["_l_at"] == b["_r_at"])
+        & (a["_l_cx"] == b["_r_cx"])
+        & (a["_l_cy"] == b["_r_cy"])
+        & (a["_l_salt"] == b["_r_salt"])
     )
     at = F.col("_r_at")
     corner_x = F.greatest(F.col(left_box[0]), F.col(right_box[0]))
@@ -103,8 +117,8 @@ def overlap_join(
             & (F.col(left_box[2]) <= F.col(right_box[3]))
             & (F.col(right_box[2]) <= F.col(left_box[3]))
             & (at == F.greatest(F.col("_l_level"), F.col("_r_level")))
-            & (F.col("_r_cx") == _cell(corner_x, at))
-            & (F.col("_r_cy") == _cell(corner_y, at))
+            & (F.col("_r_cx") == F.floor(corner_x / F.col("_r_length")).cast("bigint"))
+            & (F.col("_r_cy") == F.floor(corner_y / F.col("_r_length")).cast("bigint"))
         )
         .select(*left.columns, *right.columns)
     )

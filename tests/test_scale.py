@@ -2,8 +2,9 @@
 
 import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from skychart.operators import knn
+from skychart.operators import knn, spatial
 
 VEC = "id bigint, vec array<double>"
 
@@ -34,3 +35,12 @@ def test_exact_neighbours_send_a_vector_to_few_tasks(spark, monkeypatch):
     assert {(r["id"], r["rank"]): r["neighbor"] for r in found} == {
         (i, k): int(j) for i in range(800) for k, j in enumerate(np.argsort(gaps[i])[:3])
     }
+
+
+def test_pairs_of_one_crowded_cell_are_dealt_over_tasks(spark):
+    points = spark.range(3000).select("id", (F.col("id") % 7 / 1000.0).alias("x"), F.lit(0.5).alias("y"))
+    boxes = spark.range(40).select(F.col("id").alias("box"), *[F.lit(v).alias(c) for c, v in zip("abcd", (-0.5, 0.5, 0.0, 0.9), strict=True)])
+    found = spatial.overlap_join(points, boxes, ["x", "x", "y", "y"], ["a", "b", "c", "d"])
+    counted = found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.countDistinct("id", "box").alias("m")).collect()
+    assert sum(r["n"] for r in counted) == sum(r["m"] for r in counted) == 120_000
+    assert max(r["n"] for r in counted) < 70_000
