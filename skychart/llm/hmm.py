@@ -25,8 +25,8 @@ STATES, CLASS_BITS = 8, 15
 CLASSES = 1 << CLASS_BITS
 END_CLASS, UNKNOWN = CLASSES, CLASSES + 1
 END_HASH = mix(np.array([0x454E44], dtype=np.uint64))[0]
-# Rounds over about so many texts, which only find the start, and rounds over all training texts.
-WARM_TEXTS, WARM_ROUNDS, ROUNDS = 4000, 8, 2
+# Rounds of training, each over all training texts.
+ROUNDS = 6
 # In training, long texts are cut into runs of so many tokens; a later run starts from the states' overall shares.
 RUN_TOKENS = 256
 RUNS_AT_ONCE = 1024
@@ -221,14 +221,13 @@ class Trained:
     distinct: int
 
 
-def train(docs: DataFrame, states: int = STATES, warm_texts: int = WARM_TEXTS, warm_rounds: int = WARM_ROUNDS, rounds: int = ROUNDS) -> Trained:
-    """Learn from all texts of (doc_id, text); every one counts in the vocabulary and in the last rounds."""
+def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Trained:
+    """Learn from all texts of (doc_id, text); every one counts in the vocabulary and in every round."""
     space = Workspace(docs.sparkSession)
     vocabulary = space.write(word_counts(docs), "vocabulary")
     total = vocabulary.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
         F.count("*").alias("v"),
-        F.coalesce(F.sum(F.when(F.col("h") == _end(), F.col("c"))), F.lit(0)).alias("texts"),
     ).first()
     n, v = total["n"], total["v"]
     by_class = F.when(F.col("h") == _end(), END_CLASS).otherwise(F.shiftrightunsigned("h", 64 - CLASS_BITS))
@@ -238,11 +237,6 @@ def train(docs: DataFrame, states: int = STATES, warm_texts: int = WARM_TEXTS, w
     model = first_model(states)
     if not n:
         return Trained(model, vocabulary, 0, 0)
-    # A share of the texts, by hash of the id; all of them in a small table.
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, warm_texts / total["texts"]))
-    warm = space.write(docs.where(part).select("text"), "warm")
-    for _ in range(warm_rounds):
-        model = improved(expected_counts(warm, model), base)
     for _ in range(rounds):
         model = improved(expected_counts(docs, model), base)
     return Trained(model, vocabulary, n, v)

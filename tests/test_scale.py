@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from skychart.llm import hmm
 from skychart.operators import knn, spatial
 
 VEC = "id bigint, vec array<double>"
@@ -44,3 +45,15 @@ def test_pairs_of_one_crowded_cell_are_dealt_over_tasks(spark):
     counted = found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.countDistinct("id", "box").alias("m")).collect()
     assert sum(r["n"] for r in counted) == sum(r["m"] for r in counted) == 120_000
     assert max(r["n"] for r in counted) < 70_000
+
+
+def test_every_round_of_the_markov_model_learns_from_all_texts(spark, monkeypatch):
+    seen, counted = [], hmm.expected_counts
+
+    def spy(docs, model):
+        seen.append(docs.count())
+        return counted(docs, model)
+
+    monkeypatch.setattr(hmm, "expected_counts", spy)
+    hmm.train(spark.range(4300).select(F.col("id").alias("doc_id"), F.lit("so it goes").alias("text")))
+    assert seen and set(seen) == {4300}
