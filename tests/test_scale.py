@@ -1,11 +1,12 @@
 """What travels and who works when tables grow; results are compared with plain versions."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from skychart.llm import hmm
-from skychart.operators import knn, spatial
+from skychart.operators import knn, pointforest, spatial
 
 VEC = "id bigint, vec array<double>"
 
@@ -57,3 +58,36 @@ def test_every_round_of_the_markov_model_learns_from_all_texts(spark, monkeypatc
     monkeypatch.setattr(hmm, "expected_counts", spy)
     hmm.train(spark.range(4300).select(F.col("id").alias("doc_id"), F.lit("so it goes").alias("text")))
     assert seen and set(seen) == {4300}
+
+
+def test_forest_in_a_block_measures_few_pairs(monkeypatch):
+    measured = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def sqrt(self, x, *rest, **more):
+            measured.append(x.size if x.ndim == 1 else 0)
+            return np.sqrt(x, *rest, **more)
+
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.standard_normal((300, 40)), np.repeat(rng.standard_normal((1, 40)), 30, axis=0)])
+    points = pd.DataFrame({"id": rng.permutation(330), "vec": list(data), "core": np.zeros(330)})
+    monkeypatch.setattr(pointforest, "np", Counting())
+    found = pointforest._prim(points, False, None)
+    assert sum(measured) < 330 * 330 / 4
+    by_id = {i: v for i, v in zip(points["id"], data, strict=True)}
+    pairs = [(np.sqrt((((by_id[a] - by_id[b]) ** 2).cumsum())[-1]), a, b) for a in range(330) for b in range(a + 1, 330)]
+    root, kept = list(range(330)), set()
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for _, a, b in sorted(pairs):
+        if top(a) != top(b):
+            root[top(a)] = top(b)
+            kept.add((a, b))
+    assert set(zip(found["src"], found["dst"], strict=True)) == kept
