@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from skychart.llm import hmm
-from skychart.operators import knn, pointforest, spatial
+from skychart.operators import descent, knn, pointforest, spatial
+from skychart.operators.spread import spread
 
 VEC = "id bigint, vec array<double>"
 
@@ -91,3 +92,17 @@ def test_forest_in_a_block_measures_few_pairs(monkeypatch):
             root[top(a)] = top(b)
             kept.add((a, b))
     assert set(zip(found["src"], found["dst"], strict=True)) == kept
+
+
+def test_a_large_table_is_dealt_over_all_cores(spark):
+    large = spark.range(100_000_000).coalesce(1)
+    assert spread(large).rdd.getNumPartitions() >= 8
+
+
+def test_gatherings_without_fresh_members_send_nothing(spark):
+    met = "array<struct<distance: double, neighbor: bigint, fresh: boolean>>"
+    rows = [(0, [0.0], 9.0, [(1.0, 1, False)]), (1, [1.0], 9.0, [(1.0, 0, False), (4.0, 2, True)]), (2, [5.0], 9.0, [(4.0, 1, False)])]
+    lists = spark.createDataFrame(rows, f"rep bigint, vec array<double>, bound double, met {met}")
+    found = {r["at"]: sorted((m["member"], m["fresh"]) for m in r["members"]) for r in descent._gatherings(lists, 5, 0).collect()}
+    # Vector 1 has the fresh member 2, and 2 is listed afresh by 1; at 0 there is nothing fresh.
+    assert found == {1: [(0, False), (2, True)], 2: [(1, True)]}
