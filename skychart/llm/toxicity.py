@@ -31,11 +31,16 @@ NEIGHBOURS = 25
 BLOCK = 64
 # The terms with most postings, kept as columns, and queries that are searched in step. A column costs every query one
 # product per example, a list only the queries with its term.
-COLUMNS, QUERIES = 768, 64
+COLUMNS, QUERIES = 768, 128
+# Columns that are multiplied for every example, examples per wanted one that bound the k-th best score, and the share of
+# the examples (one in so many) from which on a query is multiplied with all of them.
+LEADING, FIRST, WHOLE = 256, 2, 24
 # Bytes of text whose terms are counted at a time (or one longer text), and bits of a term's key beside the number of its row.
 PARSED, KEY_BITS = 1 << 18, 54
 # Words that no example has are counted over all documents in so many hash groups.
 OTHER_BITS = 21
+# Terms of documents that wait to be counted together.
+COUNTED = 1 << 20
 # The weight of the base rate in a vote, in units of one example without any likeness.
 PRIOR_WEIGHT = 1.0
 # Added to the distance 1 - cosine, by which votes are divided.
@@ -140,8 +145,13 @@ def places(keys: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Where each key is in the sorted vocabulary, -1 where it is not."""
     if not len(vocabulary):
         return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == keys, at, -1)
+    # Keys in order are looked up in neighbouring memory.
+    order = np.argsort(keys)
+    ascending = keys[order]
+    at = np.minimum(np.searchsorted(vocabulary, ascending), len(vocabulary) - 1)
+    found = np.empty(len(keys), np.int64)
+    found[order] = np.where(vocabulary[at] == ascending, at, -1)
+    return found
 
 
 def other_slots(keys: np.ndarray) -> np.ndarray:
@@ -157,9 +167,9 @@ _ENTRY = np.dtype([("example", np.int32), ("weight", np.float32)])
 class BlockMaxIndex:
     """Distinct example vectors by term, in blocks of fixed ranges with their largest weights.
 
-    Terms with many postings are columns of a matrix, the others have lists. A query's best score in a block
-    is at most what the lists give there plus the sum over the columns of its weight times the block's largest weight. Each query
-    opens its best block, then all blocks whose bound reaches the worst of the best found so far.
+    Terms with many postings are columns of a matrix, the others have lists. A query's score of an example is at most what
+    the lists and the leading columns give plus the sum over the later columns of its weight times the block's largest weight.
+    Each query looks at its most promising examples, then at all whose bound reaches the worst of the best found so far.
     The result is exact; scores are as precise as weights of single precision.
     """
 
@@ -171,19 +181,25 @@ class BlockMaxIndex:
     lists: np.ndarray = field(default_factory=lambda: np.zeros(0, _ENTRY))
     dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    rest_length: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def __getstate__(self) -> dict:
         """What is sent to tasks: of the columns only what is not zero."""
         at = np.flatnonzero(self.dense)
         place = at.astype(np.uint32 if self.dense.size < 1 << 32 else np.int64)
-        lost = {"dense": (self.dense.shape, place, self.dense.ravel()[at]), "most": None}
+        lost = {"dense": (self.dense.shape, place, self.dense.ravel()[at]), "most": None, "rest_length": None}
         return self.__dict__ | lost
 
     def __setstate__(self, state: dict) -> None:
         shape, at, values = state["dense"]
         self.__dict__ |= state | {"dense": np.zeros(shape, np.float32)}
         self.dense.ravel()[at] = values
-        self.most = self._largest()
+        self._bound()
+
+    def _bound(self) -> None:
+        """Of the columns the largest weights per block, and each example's length in the later ones."""
+        self.most, later = self._largest(), self.dense[:, LEADING:]
+        self.rest_length = np.sqrt(np.einsum("ij,ij->i", later, later))
 
     def _largest(self) -> np.ndarray:
         if not self.size:
@@ -217,7 +233,7 @@ class BlockMaxIndex:
             index.lists["example"][free[terms]] = i
             index.lists["weight"][free[terms]] = weights[place < 0]
             free[terms] += 1
-        index.most = index._largest()
+        index._bound()
         return index
 
     def _weights(self, counts, beyond: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -239,65 +255,75 @@ class BlockMaxIndex:
     def search(self, queries: Sequence[tuple], k: int) -> list[list[tuple[float, int]]]:
         """``nearest`` of several (counts, squared length of other terms) in step.
 
-        The lists are the essential terms: only they are read for all examples. The columns, which weigh little each, are
-        multiplied for a block only where its bound reaches the running k-th best score of a query.
+        The lists and the leading columns are read for all examples. What the later columns, which weigh little each, add
+        to an example is at most the bound of its block, and at most the product of both lengths in them; they are multiplied
+        only for examples whose bound reaches the k-th best score of the most promising ones.
         """
-        n, size, block = len(queries), self.size, self.block
+        n, size = len(queries), self.size
         if not size or not n:
             return [[] for _ in queries]
         wide = np.zeros((n, self.dense.shape[1]), np.float64)
         rest = np.zeros((n, size), np.float64)
         packed = self.lists.view(np.int64)
-        for i, (counts, beyond) in enumerate(queries):
-            terms, weights, _ = self._weights(counts, beyond)
-            place = self.column[terms]
-            wide[i, place[place >= 0]] = weights[place >= 0]
-            terms, weights = terms[place < 0], weights[place < 0]
-            some = self.first[terms + 1] > self.first[terms]
-            low, high = self.first[terms[some]], self.first[terms[some] + 1]
-            if len(low):
-                both = np.concatenate([packed[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]).view(_ENTRY)
-                listed = both["weight"] * np.repeat(weights[some], high - low)
-                rest[i] = np.bincount(both["example"].astype(np.int64), listed, minlength=size)
+        pairs = [np.asarray(counts, dtype=np.int64).reshape(-1, 2) for counts, _ in queries]
+        ends = np.concatenate([[0], np.cumsum([len(p) for p in pairs])]).tolist()
+        pairs = np.concatenate(pairs)
+        terms = pairs[:, 0]
+        raw, place = (1.0 + np.log(pairs[:, 1])) * self.idf[terms], self.column[terms]
+        low, sizes = self.first[terms], self.first[terms + 1] - self.first[terms]
+        # Room for the longest query's entries is made once, not for each.
+        lengths = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        room = int(np.diff(lengths).max())
+        count, entries, examples, products = np.arange(room), np.empty(room, np.int64), np.empty(room, np.int64), np.empty(room)
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            length = math.sqrt(float(raw[a:b] @ raw[a:b]) + queries[i][1])
+            weights = raw[a:b] / length if length else raw[a:b]
+            some = np.flatnonzero(place[a:b] >= 0)
+            wide[i, place[a:b][some]] = weights[some]
+            m = int(lengths[i + 1] - lengths[i])
+            if not m:
+                continue
+            own = sizes[a:b]
+            at = np.repeat(low[a:b] - (np.cumsum(own) - own), own)
+            at += count[:m]
+            both = packed.take(at, out=entries[:m], mode="clip").view(_ENTRY)
+            examples[:m] = both["example"]
+            products[:m] = both["weight"]
+            products[:m] *= np.repeat(weights, own)
+            rest[i] = np.bincount(examples[:m], products[:m], minlength=size)
         narrow = wide.astype(np.float32)
-        cuts = np.arange(0, size, block)
-        # The margin covers rounding in sums taken in another order and precision.
-        bounds = narrow @ self.most.T + np.maximum.reduceat(rest, cuts, axis=1)
-        scores = np.zeros((n, size), np.float32)
-        top = np.zeros((n, len(cuts)), np.float32)
-        least = np.full(n, -np.inf)
-
-        def opened(b: int, rows: np.ndarray) -> np.ndarray:
-            part = slice(b * block, (b + 1) * block)
-            if len(rows) == n:
-                scores[:, part] = narrow @ self.dense[part].T + rest[:, part]
-            else:
-                scores[rows, part] = narrow[rows] @ self.dense[part].T + rest[rows, part]
-            found = scores[rows, part]
-            top[rows, b] = found.max(axis=1)
-            return found
-
-        best = bounds.argmax(axis=1)
-        for b in np.unique(best):
-            rows = np.flatnonzero(best == b)
-            found = opened(int(b), rows)
-            if found.shape[1] >= k:
-                least[rows] = np.partition(found, -k, axis=1)[:, -k]
-        # Blocks with high bounds first, which lets the k-th best grow early: of k blocks' best scores the least is one bound of it.
-        for turn, b in enumerate(np.argsort(-bounds.max(axis=0), kind="stable")):
-            rows = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] + 1e-4 >= least) & (best != b))
-            if len(rows):
-                opened(int(b), rows)
-            if turn % 32 == 31 and len(cuts) >= k:
-                least = np.maximum(least, np.partition(top, -k, axis=1)[:, -k])
-        if len(cuts) >= k:
-            least = np.maximum(least, np.partition(top, -k, axis=1)[:, -k])
+        head, tail = narrow[:, :LEADING], narrow[:, LEADING:]
+        # Scores so far, without the later columns, and the most that these add to any example of a block.
+        scores = head @ self.dense[:, :LEADING].T
+        scores += rest
+        most = tail @ self.most[:, LEADING:].T
+        length = np.linalg.norm(tail, axis=1)
+        whole = np.zeros(n, bool)
+        least = np.full(n, -np.inf, np.float32)
+        open_: list[np.ndarray] = []
+        for i in range(n):
+            bounds = scores[i] + np.minimum(np.repeat(most[i], self.block)[:size], length[i] * self.rest_length)
+            # The most promising examples give a bound of the k-th best; the margin covers rounding in sums of another order.
+            if size > FIRST * k:
+                first = np.flatnonzero(bounds >= np.partition(bounds, -FIRST * k)[-FIRST * k])[: 2 * FIRST * k]
+                found = scores[i, first] + self.dense[first, LEADING:] @ tail[i]
+                least[i] = np.partition(found, -k)[-k]
+            open_.append(np.flatnonzero(bounds >= max(least[i] - 1e-4, 0.0)))
+            whole[i] = len(open_[i]) * WHOLE > size
+        # Where many examples are left, one product with all of them costs less than picking.
+        rows = np.flatnonzero(whole)
+        if len(rows):
+            scores[rows] += tail[rows] @ self.dense[:, LEADING:].T
         out = []
         for i in range(n):
-            near = np.flatnonzero(scores[i] >= max(least[i] - 1e-4, 0.0))
+            near = open_[i]
+            found = scores[i, near]
+            if not whole[i]:
+                found = found + self.dense[near, LEADING:] @ tail[i]
             if len(near) > k:
-                near = near[scores[i, near] >= np.partition(scores[i, near], -k)[-k] - 1e-4]
-            near = near[scores[i, near] > 0]
+                best = found >= np.partition(found, -k)[-k] - 1e-4
+                near, found = near[best], found[best]
+            near = near[found > 0]
             exact = self.dense[near].astype(np.float64) @ wide[i] + rest[i, near]
             order = np.lexsort((near, -exact))[:k]
             out.append(list(zip(exact[order].tolist(), near[order].tolist(), strict=True)))
@@ -395,14 +421,25 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(slots + 1, np.int64)
+        waiting: list[np.ndarray] = []
+
+        def add() -> None:
+            nonlocal sums
+            sums += np.bincount(np.concatenate(waiting), minlength=slots + 1)
+            waiting.clear()
+
         for batch in batches:
             for low, high, rows, keys, _ in counts_of(batch.column(0)):
                 known = places(keys, shared.value)
                 slot = np.where(known < 0, size + other_slots(keys), known)
                 # Two terms of one group count once in a document.
-                once = np.unique(rows * slots + slot) % slots
-                sums += np.bincount(once, minlength=slots + 1)
+                waiting.append(np.unique(rows * slots + slot) % slots)
                 sums[-1] += high - low
+                # All slots are gone through once for many texts.
+                if sum(len(w) for w in waiting) >= COUNTED:
+                    add()
+        if waiting:
+            add()
         used = np.flatnonzero(sums)
         for low in range(0, len(used), 1 << 16):
             part = used[low : low + (1 << 16)]

@@ -231,3 +231,32 @@ def test_copies_of_toxic_examples_without_linked_words(spark):
     known = sum(squares[t] for t in found)
     expected = math.sqrt(known / sum(squares.values()))
     assert got[2001]["_neighbours"][0]["similarity"] == pytest.approx(expected)
+
+
+def test_block_max_search_leaves_far_examples_alone(monkeypatch):
+    """The later columns of examples that cannot be among the nearest are never multiplied, though their block has near ones."""
+    monkeypatch.setattr(toxicity, "LEADING", 8, raising=False)
+    rng = np.random.default_rng(12)
+    idf = np.concatenate([rng.uniform(0.1, 0.3, 40), rng.uniform(4, 5, 75)])
+    groups = rng.permutation(np.repeat(np.arange(25), 16))
+    examples = []
+    for g in groups.tolist():
+        common = [(t, rng.integers(1, 4)) for t in sorted(rng.choice(40, 12, replace=False))]
+        examples.append(np.array(common + [(40 + 3 * g + j, rng.integers(1, 3)) for j in range(3)]))
+    index = toxicity.BlockMaxIndex.build(examples, idf, block=8, columns=40)
+    dense = np.zeros((len(examples), len(idf)))
+    for i, e in enumerate(examples):
+        for t, w in index.weights(e):
+            dense[i, t] = w
+    whole = index.dense.copy()
+    for i in range(0, 400, 40):
+        cosine = dense @ dense[i]
+        expected = sorted(cosine, reverse=True)[:3]
+        index.dense = whole.copy()
+        index.dense[groups != groups[i], 8:] = np.nan
+        assert [s for s, _ in index.nearest(examples[i], 3)] == pytest.approx(expected, abs=1e-6)
+        # Without the group's terms nothing can be ruled out early, and all examples count.
+        index.dense = whole
+        vague = examples[i][:12]
+        cosine = dense @ np.bincount(vague[:, 0], index._weights(vague)[1], minlength=len(idf))
+        assert [s for s, _ in index.nearest(vague, 3)] == pytest.approx(sorted(cosine, reverse=True)[:3], abs=1e-6)
