@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +216,22 @@ def test_rows_without_id_hide_and_bridge_nothing(spark):
     kept = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_copy(spark, docs, "").collect())
     assert sorted(i for i, _ in kept if i is not None) == [3, 20]
     assert {t: n for (i, t), n in kept.items() if i is None} == {"p q r s t u v": 1, "": 1, None: 2}
+
+
+def test_points_travel_in_few_bytes(spark):
+    """A text with a few hundred runs has a point of 64 bytes; larger counts take more, and all come back as they were."""
+    rng = np.random.default_rng(3)
+    for largest in (1, 15, 16, 255, 256, 70_000):
+        points = rng.integers(0, largest + 1, (5, jaccard.AXES))
+        points[:, 0] = largest
+        found = jaccard.unpacked(pa.array([jaccard.packed(p) for p in points], pa.binary()))
+        assert (found == points).all()
+    mixed = [np.full(jaccard.AXES, n) for n in (3, 300, 30, 0)]
+    assert (jaccard.unpacked(pa.array([jaccard.packed(p) for p in mixed], pa.binary())) == np.array(mixed)).all()
+    assert jaccard.unpacked(pa.array([], pa.binary())).shape == (0, jaccard.AXES)
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 100 * i))) for i in (1, 2, 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in jaccard.points_of(docs, 4, docs.select("doc_id")).collect()}
+    assert [len(got[i]["point"]) for i in (1, 2, 200)] == [64, 64, 128]
+    for i in got:
+        assert jaccard.unpacked(pa.array([bytes(got[i]["point"])], pa.binary())).sum() == got[i]["n"] == 100 * i - 3
