@@ -235,3 +235,31 @@ def test_points_travel_in_few_bytes(spark):
     assert [len(got[i]["point"]) for i in (1, 2, 200)] == [64, 64, 128]
     for i in got:
         assert jaccard.unpacked(pa.array([bytes(got[i]["point"])], pa.binary())).sum() == got[i]["n"] == 100 * i - 3
+
+
+def test_a_text_travels_once_to_the_pairs_of_a_small_group(spark, monkeypatch):
+    """All pairs of a small group meet in one part; those of one document with very many others are spread over several."""
+    groups = [(10 * g + i, 10 * g + j) for g in range(20) for i in range(5) for j in range(i + 1, 5)]
+    hub = [(min(x, 1000), max(x, 1000)) for x in (*range(700, 800), *range(1001, 1101))]
+    pairs = spark.createDataFrame(groups + hub, "a bigint, b bigint")
+    monkeypatch.setattr(jaccard, "PAIRS", 20)
+    rows = jaccard.dealt_pairs(pairs).collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == sorted(groups + hub)
+    places, load = collections.defaultdict(set), collections.Counter()
+    for r in rows:
+        load[r["key"], r["part"]] += 1
+        for end in (r["a"], r["b"]):
+            places[end].add((r["key"], r["part"]))
+    assert all(len(places[10 * g + i]) == 1 for g in range(20) for i in range(5))
+    assert max(load.values()) <= 60 and len(places[1000]) >= 8
+    assert all(len(places[b if a == 1000 else a]) == 1 for a, b in hub)
+
+
+def test_pairs_are_compared_run_by_run(spark):
+    texts = [(1, "a b c d e f g h"), (2, "A b c d e f g h i"), (3, "x y z"), (3, "x y z"), (4, "x y z v w"), (5, "p q r")]
+    docs = frame(spark, [*texts, (None, "x y z")]).repartition(3)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 4), (2, 4)], "a bigint, b bigint")
+    for percent, linked in ((80, {(1, 2)}), (90, set())):
+        got = jaccard.compared_pairs(docs.select("doc_id", "text"), 2, percent, jaccard.dealt_pairs(pairs)).collect()
+        assert sorted((r["a"], r["b"]) for r in got) == [(1, 2), (1, 3), (2, 4), (3, 4)]
+        assert {(r["a"], r["b"]) for r in got if r["linked"]} == linked
