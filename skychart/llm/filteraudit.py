@@ -229,8 +229,9 @@ def document_flags(docs: DataFrame) -> DataFrame:
         text.alias("text"),
         F.unhex(F.sha2(text, 256)).alias("text_key"),
     )
-    local = space.write(local_shards(rows), "local", codec="zstd")
-    return row_flags(space.write(csr_shards(local), "matrix", codec="zstd"))
+    # A row is a whole shard: Spark's reader unpacks up to 4,096 rows of a row group at a time.
+    local = space.write(local_shards(rows), "local", codec="zstd", group_rows=1)
+    return row_flags(space.write(csr_shards(local), "matrix", codec="zstd", group_rows=1))
 
 
 def counted_flags(flags: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """The filter audit against a plain replay of every order."""
 
+import glob
 import random
 import re
 from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from skychart.llm import filteraudit
+from skychart.sources.workspace import Workspace
 
 SCHEMA = "doc_id bigint, text string, source string, part int, words string, shard string, flags string"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
@@ -100,6 +103,23 @@ def test_matrix_holds_every_word_of_every_document(spark, monkeypatch):
     assert sorted(found) == sorted((str(r[0]), sorted(Counter(plain_words(r[1] or "")).items())) for r in rows)
 
 
+def test_written_shards_are_read_one_by_one(spark, monkeypatch, tmp_path):
+    """Many shards in one task's file: each has a row group of its own, so no reader unpacks several at once."""
+
+    class Here(Workspace):
+        def __init__(self, session):
+            super().__init__(session)
+            self.folder = f"{tmp_path}/space"
+
+    monkeypatch.setattr(filteraudit, "Workspace", Here)
+    monkeypatch.setattr(filteraudit, "SHARD_BYTES", 500)
+    rows, _, docs, _ = fixture(spark)
+    assert filteraudit.document_flags(docs.coalesce(1)).count() == len(rows)
+    for name in ("local", "matrix"):
+        files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/space/{name}-*/*.parquet")]
+        assert sum(m.num_row_groups for m in files) == sum(m.num_rows for m in files) > 10 * len(files)
+
+
 def test_empty_tables(spark):
     rows, labels, docs, label_table = fixture(spark)
     assert filteraudit.audit(docs.limit(0), label_table).count() == 0
