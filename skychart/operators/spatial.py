@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skychart.operators.ranking import global_dense_id
+from skychart.sources.workspace import Workspace
+
 BOX = ("min_x", "max_x", "min_y", "max_y")
 
 # Cells are never smaller than 2^-20: a larger cell than needed is still right.
@@ -22,6 +25,10 @@ _FINER = 1
 # Parts of a cell's left rows, each of which meets all its right rows, and tasks of a join per core.
 _SALTS, _TASKS_PER_CORE = 8, 4
 
+# Most labels of a viewport, the most used points that viewports meet first, and how many times as many they have met after each
+# further turn.
+MOST_LABELS, TIER, TIER_GROWTH = 50, 8192, 8
+
 # Share of the viewport added as padding, and the least padding for clusters.
 PADDING_FACTOR = 0.1
 MIN_CLUSTER_PADDING = 0.1
@@ -286,17 +293,40 @@ def label_limit(zoom: Column, mobile: Column) -> Column:
 def label_top_k(
     points: DataFrame, views: DataFrame, selected: DataFrame | None = None
 ) -> DataFrame:
-    """Per viewport, the most used visible points that get a label."""
-    views = views.withColumn("_limit", label_limit(F.col("zoom"), F.col("mobile")))
-    visible = viewport_points(points, views.where(F.col("_limit") > 0), selected)
-    most_used = Window.partitionBy("view_id").orderBy(F.col("weekly_downloads").desc_nulls_last(), "id")
-    # The literal bound of 50 lets Spark drop the rest before the shuffle.
-    return (
-        visible.withColumn("label_rank", F.row_number().over(most_used))
-        .where(F.col("label_rank") <= 50)
-        .where(F.col("label_rank") <= F.col("_limit"))
-        .drop("_limit")
-    )
+    """Per viewport, the most used visible points that get a label.
+
+    Viewports meet the points in the order of their use, a tier at a time, until they have all their labels: what comes later
+    cannot get one. So a viewport meets few of its points however many it shows, and all of them only if they are few.
+    """
+    space = Workspace(points.sparkSession)
+    if selected is not None:
+        points = points.join(selected.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    ranked = global_dense_id(points, [F.col("weekly_downloads").desc_nulls_last(), F.col("id").asc()], out="_place")
+    ranked = space.write(ranked, "ranked")
+    n = ranked.count()
+    views = views.withColumn("_limit", label_limit(F.col("zoom"), F.col("mobile"))).where(F.col("_limit") > 0)
+    waiting = space.write(views, "waiting")
+    most_used = Window.partitionBy("view_id").orderBy("_place")
+
+    def first(df: DataFrame) -> DataFrame:
+        # The literal bound lets Spark drop the rest before the shuffle.
+        return df.withColumn("label_rank", F.row_number().over(most_used)).where(F.col("label_rank") <= MOST_LABELS)
+
+    found, low, high = None, 0, TIER
+    while True:
+        tier = ranked.where((F.col("_place") >= low) & (F.col("_place") < high))
+        near = space.write(first(viewport_points(tier, waiting)).drop("label_rank"), "found")
+        found = near if found is None else found.unionByName(near)
+        if high >= n:
+            break
+        have = found.groupBy(F.col("view_id").alias("_id")).agg(F.count("*").alias("_have"))
+        need = waiting.groupBy("view_id").agg(F.max("_limit").alias("_need"))
+        full = need.join(have, F.col("view_id").eqNullSafe(F.col("_id"))).where("_have >= _need").select("_id")
+        waiting = space.write(waiting.join(full, F.col("view_id").eqNullSafe(F.col("_id")), "left_anti"), "waiting")
+        if waiting.isEmpty():
+            break
+        low, high = high, high * TIER_GROWTH
+    return first(found).where(F.col("label_rank") <= F.col("_limit")).drop("_limit", "_place")
 
 
 def cluster_label_limit(zoom: Column, mobile: Column) -> Column:

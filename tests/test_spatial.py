@@ -116,3 +116,30 @@ def test_detail_and_list(spark):
     assert [r["label"] for r in spatial.cluster_list(clusters).collect()] == ["apple", "éclair", "fig", "Zebra"]
 
 
+
+
+def test_labels_come_from_the_most_used_points_first(spark, monkeypatch):
+    """Viewports with all their labels meet no further points; those with few points meet all."""
+    rng = random.Random(5)
+    rows = [(i if i % 40 else None, rng.random() * 10, rng.random() * 10, rng.choice([None, 1, 2, 3, 900]), i % 3) for i in range(1500)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, weekly_downloads long, cluster_id int").where("id IS NOT NULL")
+    boxes = [(i, x, x + w, x, x + w, 25.0 if i % 4 else 5.0, i % 3 == 0) for i in range(60) for x, w in [(rng.random() * 8, rng.choice([0.1, 1.0, 4.0]))]]
+    boxes += [(None, 0.0, 9.0, 0.0, 9.0, 21.0, False), (61, 2.0, 7.0, 2.0, 7.0, 3.0, False)]
+    views = spark.createDataFrame(boxes, "view_id long, min_x double, max_x double, min_y double, max_y double, zoom double, mobile boolean")
+    selected = spark.createDataFrame([(0,), (2,), (2,)], "cluster_id int")
+    met = []
+    plain = spatial.viewport_points
+    monkeypatch.setattr(spatial, "viewport_points", lambda p, v, s=None: met.append((p.count(), v.count())) or plain(p, v, s))
+    monkeypatch.setattr(spatial, "TIER", 100)
+    monkeypatch.setattr(spatial, "TIER_GROWTH", 3)
+    got = {(r["view_id"], r["label_rank"]): r["id"] for r in spatial.label_top_k(points, views, selected).collect()}
+    expected = {}
+    for view, x0, x1, y0, y1, zoom, mobile in boxes:
+        pad = 0.1 * min(x1 - x0, y1 - y0)
+        seen = [r for r in rows if r[0] is not None and r[4] != 1 and x0 - pad <= r[1] <= x1 + pad and y0 - pad <= r[2] <= y1 + pad]
+        seen.sort(key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
+        limit = 0 if zoom < 4 else 25 if mobile else 20 if zoom < 7 else 30 if zoom < 20 else 50
+        expected |= {(view, k + 1): r[0] for k, r in enumerate(seen[:limit])}
+    assert got == expected
+    assert len(met) == 4 and met[0] == (100, 61) and met[1][0] == 200
+    assert met[1][1] < 61 and met[3][1] < met[1][1]
