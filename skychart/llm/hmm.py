@@ -361,7 +361,7 @@ def scored(docs: DataFrame, trained: Trained) -> DataFrame:
             begin = np.cumsum(lengths) - lengths
             flat = np.concatenate(places)
             base = np.add.reduceat(logs[flat], begin)
-            gain = forward(classes[flat], begin, lengths, model)
+            gain = forward(classes[flat], begin, lengths, model) if tokens else np.zeros(len(lengths))
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
